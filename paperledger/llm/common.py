@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from paperledger.session import ship
+
 #: Bytes of text that are held as numpy arrays at a time (one longer text still goes in whole).
 CHUNK_BYTES = 1 << 20
 
@@ -182,6 +184,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_output
+from . import decontaminate, near_dup, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_decontaminate": decontaminate.query,
     "op7_token_output": token_output.query,
+    "op8_near_dup": near_dup.query,
+}
+ORACLES: dict[str, str] = {
+    "op4_decontaminate": decontaminate.ORACLE,
+    "op8_near_dup": near_dup.ORACLE,
 }
-ORACLES: dict[str, str] = {}
