@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dup, token_output
+from . import decontaminate, language_id, near_dup, quality_classifier, token_output, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": language_id.query,
+    "op3_quality_classifier": quality_classifier.query,
     "op4_decontaminate": decontaminate.query,
+    "op5_toxicity": toxicity.query,
     "op7_token_output": token_output.query,
     "op8_near_dup": near_dup.query,
 }
