@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, near_dup, quality_classifier, token_output, toxicity
+from . import decontaminate, language_id, near_dup, quality_classifier, quality_rules, token_output, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": quality_rules.query,
     "op2_language_id": language_id.query,
     "op3_quality_classifier": quality_classifier.query,
     "op4_decontaminate": decontaminate.query,
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dup": near_dup.query,
 }
 ORACLES: dict[str, str] = {
+    "op1_quality_rules": quality_rules.ORACLE,
     "op4_decontaminate": decontaminate.ORACLE,
     "op8_near_dup": near_dup.ORACLE,
 }
