@@ -76,7 +76,7 @@ class Powers:
         return np.multiply.accumulate(out)
 
 
-_POWERS = Powers()
+POWERS = Powers()
 
 
 class Text:
@@ -109,7 +109,7 @@ class Words:
         self.first = np.searchsorted(self.begin, text.first)
         self.count = np.diff(self.first)
         if hashed:
-            up, down = _POWERS.to(len(data))
+            up, down = POWERS.to(len(data))
             total = np.zeros(len(data) + 1, dtype=_U)
             np.cumsum(BYTE_VALUE[data] * up[: len(data)], out=total[1:])
             self.hash = mix((total[self.end] - total[self.begin]) * down[self.begin])

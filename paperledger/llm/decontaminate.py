@@ -30,7 +30,7 @@ from .common import ALNUM, Text, Words, chunks, table, text_of
 WINDOW, GRAM = 10, 5
 #: Bytes of benchmark text whose index is sent to the executors at once.
 BLOCK_BYTES = 8 << 20
-FOUND = "doc_id {id_type}, text string, n_words long, begins array<int>, ends array<int>, items array<string>"
+FOUND = ["n_words long", "begins array<int>", "ends array<int>", "items array<string>"]
 _SIEVE = 1 << 22
 
 
@@ -121,13 +121,13 @@ def merged(runs: Iterator[tuple[int, int]]) -> tuple[list[int], list[int]]:
 _INDEXES: dict[str, Index] = {}
 
 
-def scan(batches: Iterator[pa.RecordBatch], name: str, items, gram: int, window: int) -> Iterator[pa.RecordBatch]:
+def scan(batches: Iterator[pa.RecordBatch], name: str, items, text_col: str, gram: int, window: int) -> Iterator[pa.RecordBatch]:
     if name not in _INDEXES:
         _INDEXES.clear()
         _INDEXES[name] = Index(items.value, gram, window)
     index = _INDEXES[name]
     for batch in batches:
-        for part, text in chunks(batch):
+        for part, text in chunks(batch, text_col):
             yield scan_chunk(part, text, index, gram, window)
 
 
@@ -142,34 +142,42 @@ def scan_chunk(part: pa.RecordBatch, text: Text, index: Index, gram: int, window
         for h, w in zip(value[some].tolist(), at[some].tolist(), strict=True):
             if h in places:
                 hits[int(row[w])].append((size, h, int(w - words.first[row[w]])))
-    begins, ends, items = (part.column(i).to_pylist() for i in (3, 4, 5))
+    """Adds this index's hits to the last four columns."""
+    own = part.num_columns - len(FOUND)
+    begins, ends, items = (part.column(own + i).to_pylist() for i in (1, 2, 3))
     for i, where in hits.items():
         runs, found = spans(spelled(words, i), where, index, window)
         if runs:
             begins[i], ends[i] = merged([*zip(begins[i], ends[i], strict=True), *((a, b) for (a, _), b in runs.items())])
             items[i] = sorted({*items[i], *(index.ids[x] for x in found)})
-    return pa.RecordBatch.from_arrays(
-        [part.column(0), part.column(1), pa.array(words.count, pa.int64()), pa.array(begins, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-        ["doc_id", "text", "n_words", "begins", "ends", "items"],
-    )
+    hits_of = [pa.array(words.count, pa.int64()), pa.array(begins, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays([*part.columns[:own], *hits_of], part.schema.names)
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gram: int = GRAM, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, text, n_words, begins, ends, items): the spans of words of each document that occur in
-    benchmark windows, and the ids, sorted as strings, of the items that have them."""
+def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", gram: int = GRAM, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs with four more columns last, named as in ``FOUND`` (with underscores where docs has
+    such a name): the number of words, the spans of words that occur in benchmark windows, and the ids, sorted
+    as strings, of the items that have them."""
     spark = docs.sparkSession
     items = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = 1 + size // block_bytes
-    none = F.array().cast("array<int>")
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), none.alias("begins"), none.alias("ends"), F.array().cast("array<string>").alias("items"))
-    schema = FOUND.format(id_type=found.schema["doc_id"].dataType.simpleString())
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    at = own[docs.columns.index(text_col)]
+    found = docs.toDF(*own).selectExpr(*own, "0L AS n_words", "cast(array() AS array<int>) AS begins", "cast(array() AS array<int>) AS ends", "cast(array() AS array<string>) AS items")
+    schema = ", ".join([*(f"{c} {f.dataType.simpleString()}" for c, f in zip(own, docs.schema.fields, strict=True)), *FOUND])
     for b in range(blocks):
-        # A block has at most about block_bytes of text, as summed above.
+        # A block has about block_bytes of text, as summed above.
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         sent = spark.sparkContext.broadcast([(x["item"], x["text"]) for x in block.collect()])
-        found = found.mapInArrow(lambda batches, name=uuid.uuid4().hex, sent=sent: scan(batches, name, sent, gram, window), schema)
-    return found
+        found = found.mapInArrow(lambda batches, name=uuid.uuid4().hex, sent=sent: scan(batches, name, sent, at, gram, window), schema)
+    names = list(docs.columns)
+    for x in FOUND:
+        name = x.split(" ")[0]
+        while name in names:
+            name += "_"
+        names.append(name)
+    return found.toDF(*names)
 
 
 def summary(found: DataFrame) -> DataFrame:
@@ -182,7 +190,7 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return summary(decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
 
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, lm_score, near_dup, packing, quality_classifier, quality_rules, token_output, toxicity
+from . import decontaminate, language_id, line_dedup, lm_score, near_dup, packing, quality_classifier, quality_rules, token_output, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.query,
@@ -18,10 +18,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_output": token_output.query,
     "op8_near_dup": near_dup.query,
     "op9_packing": packing.query,
+    "op10_line_dedup": line_dedup.query,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op4_decontaminate": decontaminate.ORACLE,
     "op8_near_dup": near_dup.ORACLE,
     "op9_packing": packing.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
 }
