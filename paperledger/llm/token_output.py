@@ -14,8 +14,8 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint_root, lists, shuffle_width, table
+from .common import checkpoint_root, chunks, lists, shuffle_width, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Distinct words whose ids a Python worker remembers; beyond that it starts afresh.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 800_000
 #: Characters of text that are encoded at a time.
 CHUNK_CHARS = 1 << 20
 TOKENS = "part int, doc_id long, part_start long, n_tokens long, ids array<int>"
@@ -36,7 +36,9 @@ TOKENS = "part int, doc_id long, part_start long, n_tokens long, ids array<int>"
 
 class Encoder:
     """Encodes texts word by word. The normaliser and the splitter of the tokenizer never look across a
-    blank or a line feed, so the ids of a text are those of its words in a row; common words are remembered.
+    blank or a line feed, so the ids of a text are those of its words in a row; common words are remembered,
+    as bytes of 32-bit ids. A word of Latin letters with at most a full stop or a comma behind it goes to the
+    tokenizer's model directly, any other word through the whole tokenizer.
     """
 
     def __init__(self, name: str) -> None:
@@ -45,38 +47,61 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(name if os.sep in name else public_tokenizers.path(name))
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        words = [x.replace("\n", " ").split(" ") for x in texts]
+        self.model = self.tokenizer.model
+        letters = [chr(c) for c in range(0x80, 0x100) if chr(c).isalpha()]
+        self.spelling = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
+        self.known: dict[str, bytes] = {}
+        self.stop = {mark: self.whole(mark) for mark in ("", ".", ",")}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
+
+    def word(self, word: str) -> bytes:
+        mark = word[-1:] if word[-1:] in ".," else ""
+        core = word[: len(word) - len(mark)]
+        if not core.isalpha() or not core.isascii() and max(core) > "\xff":
+            return self.whole(word)
+        core = core.lower()
+        found = self.model.tokenize(core if core.isascii() else core.translate(self.spelling))
+        return array("i", [x.id for x in found]).tobytes() + self.stop[mark]
+
+    def __call__(self, text: str) -> bytes:
+        if "<|" in text:  # it may hold special tokens, which are told apart by case
+            return self.whole(text)
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+        words = text.replace("\n", " ").split(" ")
+        for new in set(words).difference(self.known):
+            self.known[new] = self.word(new)
+        out = b"".join(map(self.known.__getitem__, words))
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = list(set(chain.from_iterable(words)).difference(self.known))
-        self.known.update(zip(new, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        return [list(chain.from_iterable(map(self.known.__getitem__, x))) for x in words]
+            self.known.clear()
+        return out
+
+
+#: The encoders of this Python worker, by tokenizer.
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def encode_batches(batches: Iterator[pa.RecordBatch], name: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, part, done = Encoder(name), TaskContext.get().partitionId(), 0
+    if name not in _ENCODERS:
+        _ENCODERS[name] = Encoder(name)
+    encode, part, done = _ENCODERS[name], TaskContext.get().partitionId(), 0
+    end = np.array([end_id], dtype="<i4").tobytes()
     for batch in batches:
-        keys, texts = batch.column(0), batch.column(1)
-        start = 0
-        while start < batch.num_rows:
-            stop, size, some = start, 0, []
-            while stop < batch.num_rows and (not some or size < CHUNK_CHARS):
-                some.append(texts[stop].as_py() or "")
-                size += len(some[-1])
-                stop += 1
-            ids = encoder(some)
-            first = np.zeros(len(ids) + 1, dtype=np.int64)
-            np.cumsum([len(x) + 1 for x in ids], out=first[1:])
-            flat = np.fromiter(chain.from_iterable(chain(x, (end_id,)) for x in ids), dtype=np.int32, count=first[-1])
+        for some, text in chunks(batch, size=CHUNK_CHARS):
+            ids = [encode(x.as_py() or "") + end for x in some.column(1)]
+            first = np.zeros(len(text) + 1, dtype=np.int64)
+            np.cumsum([len(x) // 4 for x in ids], out=first[1:])
+            flat = np.frombuffer(b"".join(ids), dtype="<i4")
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(ids), pa.int32()), keys.slice(start, len(ids)), pa.array(done + first[:-1]), pa.array(np.diff(first)), lists(flat, first, pa.int32())],
+                [pa.array([part] * len(ids), pa.int32()), some.column(0), pa.array(done + first[:-1]), pa.array(np.diff(first)), lists(flat, first, pa.int32())],
                 ["part", "doc_id", "part_start", "n_tokens", "ids"],
             )
             done += int(first[-1])
-            start = stop
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
