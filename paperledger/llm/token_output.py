@@ -122,14 +122,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The written documents with ``start``, the number of ids of all documents before each."""
     stored = spark.read.schema(TOKENS).orc(path)
-    # One row for each file part: its number is that of the writing tasks, whatever the number of documents.
+    # One row for each file part: there are as many as writing tasks, whatever the number of documents, so
+    # they are collected, and broadcast lest the ids be shuffled for the join.
     totals = stored.groupBy("part").agg(F.sum("n_tokens").alias("total")).orderBy("part").collect()
     starts, at = [], 0
     for row in totals:
         starts.append((row["part"], at))
         at += row["total"]
     before = spark.createDataFrame(starts, "part int, before long")
-    return stored.join(before, "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids")
+    return stored.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
