@@ -44,6 +44,8 @@ MANY_PAGES = [(30, -6), (10, -3)]
 EXTRA = 3
 
 FLAGS = "(?iuU)"
+#: Rules that a table may have: it is sent to all executors.
+MOST_RULES = 10_000
 RULES = POSITIVE + NEGATIVE
 
 
@@ -97,8 +99,10 @@ def rules_table(spark: SparkSession) -> DataFrame:
 def rule_hits(texts: DataFrame, rules: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """(key, score) by a join of texts with a table of rules, for rules that are data. Texts without hits have 0.
 
-    A pattern matches or not, so this is a nested loop; the rules are a short list that its author bounds.
+    A pattern matches or not, so this is a nested loop over a list whose size is checked first.
     """
+    if rules.count() > MOST_RULES:
+        raise ValueError(f"there are more than {MOST_RULES} rules")
     hit = F.expr(f"{text_col} RLIKE concat('{FLAGS}', pattern)")
     joined = texts.join(F.broadcast(rules), hit, "left")
     return joined.groupBy(key).agg(F.coalesce(F.sum("weight"), F.lit(0)).cast("int").alias("score"))
