@@ -6,7 +6,10 @@ rows of about ``CHUNK_BYTES`` so that memory is bounded by the longest single te
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -173,14 +176,34 @@ def checkpoint_root(spark: SparkSession) -> str:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="checkpoint-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     context.setCheckpointDir(root)
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the shared folder."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
+class Scratch:
+    """Tables in the shared checkpoint folder that cut the lineage of what is computed from them.
+
+    They are Parquet files: any executor can read them again, and their real sizes take the place of the
+    planner's estimates, which grow with the product of the inputs at every join of an iteration.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        ship(spark)
+        self.spark, self.root, self.paths = spark, checkpoint_root(spark), {}
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/scratch-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *keep: DataFrame) -> None:
+        """Deletes all tables but those to keep."""
+        for key in [k for k in self.paths if k not in {id(x) for x in keep}]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(key)[0])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,17 +1,20 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Each document's set of word shingles gets ``BANDS * ROWS`` minima. Groups of ``ROWS`` minima are hashed
-to band keys that find candidates; of every minimum only ``BITS`` low bits are kept, packed in longs, and
-the collision-corrected share of equal low bits screens the candidates before their full sets are compared.
+Each document's set of word shingles gets ``BANDS * ROWS`` minima, hashed in groups of ``ROWS`` to band keys
+that find candidates. Documents that share a key get a signature of ``PERMS`` minima of which only ``BITS``
+low bits are kept, packed in longs; the share of equal low bits, by bit counts and corrected for chance
+collisions, screens pairs before their full sets are compared.
 
 Documents with equal sets form a class (two 64-bit sums over the set and its size) that is never expanded.
-In a band bucket, classes are compared with pivots only: first with the least class, then with the least and
-the greatest of those outside the first pivot's component. Only classes that share a bucket and still lie in
-different components are then compared directly, so no candidate link that could join two components is left
-untried, and a bucket whose classes are one component costs no pairs.
+Each class is first compared with the least class of its buckets, one pair a class; after that, in a few
+rounds, each class outside a bucket's largest component with the likeliest of some members of it. What then
+still shares a bucket and lies in different components is compared by signature inside the join, each class
+outside the largest component with the bucket; only pairs that pass are made, each once. So no candidate link
+that could join two components is left untried, and buckets that are one component cost nothing.
 
-Full sets are compared in streams: the text of a pivot comes first, the others follow, in runs of at most
-about ``RUN`` documents a pivot; neither a group nor its pairs are ever held.
+Full sets are compared in streams: the text of a hub comes first, the others follow, dealt over as many parts
+as there are shuffle partitions; neither a group nor its pairs are ever held. Only the texts of candidates
+are moved, once out of the corpus and then by pair.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; texts of fewer words
 than a shingle have the whole sequence as their one shingle; rows with one doc_id count as one document;
@@ -28,20 +31,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Text, Words, checkpointed, chunks, lists, mix, series, shuffle_width, table
-from .graph import components
+from .common import Scratch, Words, chunks, lists, mix, series, shuffle_width, table
+from .graph import components, joined
 
 SHINGLE, PERCENT = 5, 80
-BANDS, ROWS, BITS = 32, 5, 4
+BANDS, ROWS = 32, 5
+PERMS, BITS = 1024, 1
 #: Standard errors of the estimate that a pair may lie below the threshold and still be compared in full.
-SLACK = 6.0
-#: Documents that are compared with one reading of a pivot.
-RUN = 256
-PERMS = BANDS * ROWS
+SLACK = 5.0
+#: Rounds in which each class outside the largest component of a bucket is compared with the likeliest of a
+#: few members of that component, and their number in each bucket.
+ROUNDS, REPRESENTATIVES = 3, 6
 PER_LONG = 64 // BITS
 _U = np.uint64
 _FACTORS, _SHIFTS = series(PERMS, 11) | _U(1), series(PERMS, 12)
-SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, packed array<long>"
+SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
+LONGS = PERMS // PER_LONG
+#: The packed longs are columns of their own: the join condition over them stays small enough to be compiled.
+PACKED, HUB_PACKED = [f"p{i}" for i in range(LONGS)], [f"h{i}" for i in range(LONGS)]
+SKETCHED = "node long, text string, size long, " + ", ".join(f"{p} long" for p in PACKED)
 
 
 def sets(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,66 +72,82 @@ def sets(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts) if parts else value[:0], starts
 
 
-def minima(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The least value of each row (of at least one shingle) under every permutation, as (PERMS, rows) of 32 bits."""
-    out = np.empty((PERMS, len(starts) - 1), dtype=np.uint32)
-    for j in range(PERMS):
+def minima(values: np.ndarray, starts: np.ndarray, perms: int) -> np.ndarray:
+    """The least value of each row (of at least one shingle) under the first permutations, as (perms, rows) of 32 bits."""
+    out = np.empty((perms, len(starts) - 1), dtype=np.uint32)
+    for j in range(perms):
         out[j] = np.minimum.reduceat(((values * _FACTORS[j] + _SHIFTS[j]) >> _U(32)).astype(np.uint32), starts[:-1])
     return out
 
 
-def sign(text: Text, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    values, starts = sets(Words(text), shingle)
-    size = np.diff(starts)
-    some = np.flatnonzero(size)
-    sums = np.zeros((2, len(size)), dtype=_U)
-    if not len(some):
-        return size, sums[0], sums[1], some, np.empty((0, BANDS), _U), np.empty((0, PERMS // PER_LONG), _U)
-    begins = starts[some]
-    for k in (0, 1):
-        sums[k, some] = np.add.reduceat(mix(values ^ series(1, 21 + k)), begins)
-    low = minima(values, np.append(begins, starts[-1]))
-    keys = np.zeros((BANDS, len(some)), dtype=_U)
+def filled(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows with a shingle, and the starts of their shingles with the end of the last."""
+    some = np.flatnonzero(np.diff(starts))
+    return some, np.append(starts[some], starts[-1])
+
+
+def band_keys(low: np.ndarray) -> np.ndarray:
+    """(rows, BANDS): a hash of each group of ROWS minima and its number."""
+    keys = np.zeros((BANDS, low.shape[1]), dtype=_U)
     for j in range(ROWS):
-        keys = mix(keys ^ low[j::ROWS].astype(_U)) + _U(j + 1)
-    keys = mix(keys + series(BANDS, 13)[:, None])
-    bits = (low & np.uint32((1 << BITS) - 1)).astype(_U).reshape(-1, PER_LONG, len(some))
-    packed = np.bitwise_or.reduce(bits << (np.arange(PER_LONG, dtype=_U) * _U(BITS))[None, :, None], axis=1)
-    return size, sums[0], sums[1], some, keys.T, packed.T
+        keys = mix(keys ^ low[j : BANDS * ROWS : ROWS].astype(_U)) + _U(j + 1)
+    return mix(keys + series(BANDS, 13)[:, None]).T
+
+
+def low_bits(low: np.ndarray) -> np.ndarray:
+    """(rows, LONGS): the low bits of the minima, packed."""
+    bits = (low & np.uint32((1 << BITS) - 1)).astype(_U).reshape(-1, PER_LONG, low.shape[1])
+    return np.bitwise_or.reduce(bits << (np.arange(PER_LONG, dtype=_U) * _U(BITS))[None, :, None], axis=1).T
+
+
+def some_rows(table: np.ndarray, some: np.ndarray, n: int) -> pa.ListArray:
+    """A list column with the rows of a table where there are any, else empty lists."""
+    has = np.zeros(n + 1, dtype=np.int64)
+    has[some + 1] = table.shape[1]
+    return lists(np.ascontiguousarray(table).view(np.int64).ravel(), np.cumsum(has), pa.int64())
 
 
 def sign_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, text in chunks(batch):
-            size, s1, s2, some, keys, packed = sign(text, shingle)
-            has = np.zeros(len(size) + 1, dtype=np.int64)
-            has[some + 1] = 1
-            has = np.cumsum(has)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(size, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
-                 lists(np.ascontiguousarray(keys).view(np.int64).ravel(), has * BANDS, pa.int64()), lists(np.ascontiguousarray(packed).view(np.int64).ravel(), has * (PERMS // PER_LONG), pa.int64())],
-                ["doc_id", "n_shingles", "s1", "s2", "bands", "packed"],
-            )
-
-
-def matching(a: str, b: str) -> F.Column:
-    """The number of equal low-bit groups of two packed signatures, by bit counts."""
+            values, starts = sets(Words(text), shingle)
+            some, begins = filled(values, starts)
+            sums = np.zeros((2, len(text)), dtype=_U)
+            for k in (0, 1):
+                sums[k, some] = np.add.reduceat(mix(values ^ series(1, 21 + k)), begins[:-1]) if len(some) else 0
+            keys = band_keys(minima(values, begins, BANDS * ROWS))
+            s1, s2 = (pa.array(x.view(np.int64)) for x in sums)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(starts), pa.int64()), s1, s2, some_rows(keys, some, len(text))], ["doc_id", "n_shingles", "s1", "s2", "bands"])
+
+
+def sketch_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, text in chunks(batch):
+            values, starts = sets(Words(text), shingle)
+            some, begins = filled(values, starts)
+            packed = np.zeros((LONGS, len(text)), dtype=_U)
+            packed[:, some] = low_bits(minima(values, begins, PERMS)).T
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(starts), pa.int64()), *(pa.array(p.view(np.int64)) for p in packed)], ["node", "text", "size", *PACKED])
+
+
+def matching() -> F.Column:
+    """The number of equal low-bit groups of the two signatures of a row, by bit counts."""
     ones = sum(1 << (BITS * i) for i in range(PER_LONG))
     ones -= (1 << 64) if ones >> 63 else 0
     total = F.lit(PERMS)
-    for i in range(PERMS // PER_LONG):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        any_bit = x
+    for a, b in zip(PACKED, HUB_PACKED, strict=True):
+        x = F.col(a).bitwiseXOR(F.col(b))
+        differs = x
         for k in range(1, BITS):
-            any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(x, k))
-        total = total - F.bit_count(any_bit.bitwiseAND(F.lit(ones)))
+            differs = differs.bitwiseOR(F.shiftrightunsigned(x, k))
+        total = total - F.bit_count(differs.bitwiseAND(F.lit(ones)) if BITS > 1 else differs)
     return total
 
 
-def estimate(a: str, b: str) -> F.Column:
+def estimate() -> F.Column:
     """The similarity estimated from low bits, corrected for chance collisions of probability 2**-BITS."""
     chance = 2.0**-BITS
-    return (matching(a, b) / PERMS - chance) / (1 - chance)
+    return (matching() / PERMS - chance) / (1 - chance)
 
 
 def least_estimate(percent: int) -> float:
@@ -151,63 +175,76 @@ def compare_batches(batches: Iterator[pa.RecordBatch], shingle: int, percent: in
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in linked], pa.int64()), pa.array([x for _, x in linked], pa.int64())], ["u", "v"])
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (hub, node) whose full sets are similar enough, as (u, v). docs: doc_id and text."""
+def confirm(pairs: DataFrame, sketched: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (hub, node) whose full sets are similar enough, as (u, v). sketched: node and text."""
     width = shuffle_width(pairs.sparkSession)
-    many = pairs.groupBy("hub").count().where(F.col("count") > RUN).select("hub", F.ceil(F.col("count") / RUN).alias("runs"))
-    dealt = pairs.join(many, "hub", "left").select("hub", "node", F.pmod(F.xxhash64("node"), F.coalesce("runs", F.lit(1))).alias("salt"))
-    wanted = dealt.select("hub", "salt", F.lit(1).alias("role"), "node").unionByName(dealt.select("hub", "salt").distinct().select("hub", "salt", F.lit(0).alias("role"), F.col("hub").alias("node")))
-    rows = wanted.join(docs.select(F.col("doc_id").alias("node"), "text"), "node").select("hub", "salt", "role", "node", "text")
+    dealt = pairs.select("hub", "node", F.pmod(F.xxhash64("node"), F.lit(width)).alias("salt"))
+    hubs = dealt.select("hub", "salt").distinct().select("hub", "salt", F.lit(0).alias("role"), F.col("hub").alias("node"))
+    wanted = dealt.select("hub", "salt", F.lit(1).alias("role"), "node").unionByName(hubs)
+    rows = wanted.join(sketched.select("node", "text"), "node").select("hub", "salt", "role", "node", "text")
     return rows.repartition(width, "hub", "salt").sortWithinPartitions("hub", "salt", "role", "node").mapInArrow(lambda batches: compare_batches(batches, shingle, percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): documents whose sets have ``100 * shared >= percent * union``
     are linked; a component is named by its least doc_id, which is the one kept."""
+    scratch = Scratch(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = checkpointed(slim.mapInArrow(lambda batches: sign_batches(batches, shingle), SIGNED))
+    signed = scratch(slim.mapInArrow(lambda batches: sign_batches(batches, shingle), SIGNED))
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    classes = checkpointed(classes)
-    nodes = checkpointed(some.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), "bands", "packed"))
-    slots = nodes.select(F.explode("bands").alias("key"), "node")
-    shared = checkpointed(slots.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1"))
-    members = checkpointed(slots.join(shared.select("key", "least"), "key"))
-    packed = nodes.select("node", "size", "packed")
-    texts = slim.where("doc_id IS NOT NULL")
-    floor, spark = least_estimate(percent), docs.sparkSession
-
-    def screened(pairs: DataFrame) -> DataFrame:
-        """pairs: hub and node. Drops those of too different sizes or too low an estimate."""
-        theirs = packed.select(F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("packed").alias("hub_packed"))
-        close = (F.least("size", "hub_size") * 100 >= F.greatest("size", "hub_size") * percent) & (estimate("packed", "hub_packed") >= floor)
-        return checkpointed(pairs.join(packed, "node").join(theirs, "hub").where(close).select("hub", "node"))
-
-    def tried(pairs: DataFrame) -> DataFrame:
-        return checkpointed(confirm(screened(pairs.distinct()), texts, shingle, percent))
-
-    links = tried(members.where("node <> least").select(F.col("least").alias("hub"), "node"))
-    found = checkpointed(components(links))
-    for last in (False, True):
-        # Buckets that still hold several components, and their members outside that of the first pivot.
-        label = F.coalesce("component", "node").alias("label")
-        marked = checkpointed(members.join(found, "node", "left").select("key", "node", "least", label))
-        mixed = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        marked = checkpointed(marked.join(mixed, "key"))
-        first = checkpointed(marked.where("node = least").select("key", F.col("label").alias("first_label")))
-        outside = checkpointed(marked.join(first, "key").where("label <> first_label").select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label")))
-        if not last:
-            ends = outside.groupBy("key").agg(F.min(F.struct("hub", "hub_label")).alias("low"), F.max(F.struct("hub", "hub_label")).alias("high"))
-            outside = checkpointed(ends.select("key", F.explode(F.array("low", "high")).alias("end")).select("key", "end.hub", "end.hub_label").distinct())
-        if outside.isEmpty():
+    classes = scratch(some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    nodes = some.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "bands")
+    nodes = scratch(nodes)
+    slots = scratch(nodes.select(F.explode("bands").alias("key"), "node"))
+    shared = scratch(slots.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least"))
+    members = scratch(slots.join(shared, "key"))
+    # The texts of candidates leave the corpus once. The join is a merge at every size: ids of candidates have no bound.
+    candidates = members.select(F.col("node").alias("doc_id")).distinct().hint("merge")
+    texts = slim.join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "text")
+    sketched = scratch(texts.mapInArrow(lambda batches: sketch_batches(batches, shingle), SKETCHED))
+    floor = least_estimate(percent)
+    mine = sketched.select("node", "size", *PACKED)
+    hub_packed = [F.col(a).alias(b) for a, b in zip(PACKED, HUB_PACKED, strict=True)]
+    theirs = sketched.select(F.col("node").alias("hub"), F.col("size").alias("hub_size"), *hub_packed)
+    close = (F.least("size", "hub_size") * 100 >= F.greatest("size", "hub_size") * percent) & (estimate() >= floor)
+
+    def mixed(found: DataFrame) -> DataFrame:
+        """Members of buckets that hold several components: their component and the bucket's largest one."""
+        marked = scratch(members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")))
+        by_label = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
+        largest = by_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels"))
+        return scratch(marked.join(scratch(largest.where("labels > 1").select("key", "most")), "key"))
+
+    firsts = members.groupBy("node").agg(F.min("least").alias("hub")).where("hub < node")
+    firsts = scratch(firsts.join(mine, "node").join(theirs, "hub").where(close).select("hub", "node"))
+    found = components(scratch(confirm(firsts, sketched, shingle, percent)), scratch)
+    left = mixed(found)
+    for turn in range(ROUNDS):
+        # A few members of each bucket's largest component, and of these the likeliest for each class outside it.
+        spread = F.xxhash64("node", F.lit(turn))
+        some_of = left.where("label = most").groupBy("key", F.pmod(spread, F.lit(REPRESENTATIVES)).alias("slot")).agg(F.min_by("node", spread).alias("hub"))
+        pairs = left.where("label <> most").select("key", "node").join(scratch(some_of.select("key", "hub")), "key").select("node", "hub").distinct()
+        likely = pairs.join(mine, "node").join(theirs, "hub").where(close).groupBy("node").agg(F.max_by("hub", estimate()).alias("hub"))
+        more = scratch(confirm(scratch(likely.select("hub", "node")), sketched, shingle, percent))
+        if more.isEmpty():
             break
-        tries = outside.join(marked, "key").where("label <> hub_label AND node <> least")
-        more = tried(tries.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")))
+        found = joined(found, more, scratch)
+        left = mixed(found)
+    # What is still apart is compared inside the join; a pair counts in the first of the buckets that it shares.
+    bands = nodes.select("node", "bands")
+    mine = mine.join(bands, "node")
+    outside = scratch(left.where("label <> most").join(mine, "node").select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("size").alias("hub_size"), *hub_packed, F.col("bands").alias("hub_bands")))
+    if not outside.isEmpty():
+        inside = scratch(left.select("key", "node", "label", "most").join(mine, "node"))
+        # Two classes outside the largest component meet twice; the greater one is taken as the member then.
+        once = (F.col("label") != F.col("hub_label")) & ((F.col("label") == F.col("most")) | (F.col("node") > F.col("hub")))
+        passed = outside.join(inside, "key").where(once & close & (F.array_min(F.array_intersect("bands", "hub_bands")) == F.col("key")))
+        more = scratch(confirm(passed.select("hub", "node"), sketched, shingle, percent))
         if not more.isEmpty():
-            links = links.unionByName(more)
-            found = checkpointed(components(links))
+            found = joined(found, more, scratch)
     verdict = classes.join(found, F.col("rep") == F.col("node"), "left").where("copies > 1 OR component IS NOT NULL")
-    verdict = checkpointed(verdict.select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component")))
+    verdict = scratch(verdict.select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component")))
+    scratch.drop(signed, verdict)
     out = signed.select("doc_id", "n_shingles", "s1", "s2").join(verdict, ["s1", "s2", "n_shingles"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))

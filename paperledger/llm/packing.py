@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shuffle_width, table
+from .common import Scratch, shuffle_width, table
 
 BUCKETS, BUDGET = 8, 32_768
 RANKED = "part int, doc_id long, n_tokens long, bucket int, bucket_length long, nth long"
@@ -75,8 +75,9 @@ def rank_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Recor
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """(doc_id, n_tokens, bucket, bucket_length, batch, place) of every row of (doc_id, text). Tokens are words."""
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
-    sized = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("n_tokens")))
+    sized = scratch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("n_tokens")))
     # A row for each length at most, however many documents.
     histogram = sized.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").toArrow()
     ends = bounds(histogram.column("n_tokens").to_numpy(), histogram.column("n").to_numpy(), buckets) or [0]
@@ -85,7 +86,8 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataF
         number, length = F.when(F.col("n_tokens") <= ends[k], k).otherwise(number), F.when(F.col("n_tokens") <= ends[k], ends[k]).otherwise(length)
     dealt = sized.select("doc_id", "n_tokens", number.cast("int").alias("bucket"), length.cast("long").alias("bucket_length"))
     sorted_parts = dealt.repartitionByRange(shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id", "n_tokens")
-    ranked = checkpointed(sorted_parts.select("doc_id", "n_tokens", "bucket", "bucket_length").mapInArrow(lambda batches: rank_batches(batches, len(ends)), RANKED))
+    ranked = scratch(sorted_parts.select("doc_id", "n_tokens", "bucket", "bucket_length").mapInArrow(lambda batches: rank_batches(batches, len(ends)), RANKED))
+    scratch.drop(ranked)
     # A row for each part and bucket.
     sizes = ranked.groupBy("bucket", "part").agg(F.count("*").alias("n")).orderBy("bucket", "part").collect()
     before, at = [], {}

@@ -4,7 +4,7 @@ Each text gets its counts in one projection over its array of words; nothing is
 shuffle is that of host totals. Hosts get the number of documents that break some rule; their rates are
 shrunk by a beta prior fitted to the hosts by moments, and documents of hosts that mostly fail are dropped.
 
-The counts are checkpointed, so that the texts are read once and the join of host verdicts has plain scans
+The counts are stored, so that the texts are read once and the join of host verdicts has plain scans
 on both sides: Spark broadcasts the rejected hosts if they are small, else splits a host of very many rows.
 
 Defined cases: null texts have no words and fail; texts without words fail; a null host has no verdict;
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import Scratch, table
 
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
 #: Further rules, for hosts: symbols and repeated lines by words and lines, bounds of the mean length of words.
@@ -93,8 +93,9 @@ def host_rates(counted: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """A row for each document: its counts, ``base_failed``, and ``kept`` (false also if its host is rejected)."""
-    counted = checkpointed(counts(docs, id_col, text_col, host_col))
-    rejected = checkpointed(host_rates(counted).where(F.col("rate") >= HOST_RATE).select("host", F.lit(True).alias("rejected")))
+    scratch = Scratch(docs.sparkSession)
+    counted = scratch(counts(docs, id_col, text_col, host_col))
+    rejected = scratch(host_rates(counted).where(F.col("rate") >= HOST_RATE).select("host", F.lit(True).alias("rejected")))
     kept = ~F.col("base_failed") & ~F.coalesce("rejected", F.lit(False))
     joined = counted.join(rejected, "host", "left").withColumn("base_failed", base_failed())
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))

@@ -96,8 +96,9 @@ def test_estimate_is_close_to_the_similarity(spark):
     texts = [edited(rng, base, n) for n in (0, 5, 20, 60)]
     values, starts = near_dup.sets(Words(text_of(pa.array(texts))), 3)
     packed = near_dup.low_bits(near_dup.minima(values, starts, near_dup.PERMS)).view(np.int64)
-    rows = [(packed[0].tolist(), p.tolist()) for p in packed]
-    got = [r.e for r in spark.createDataFrame(rows, "a array<long>, b array<long>").select(near_dup.estimate("a", "b").alias("e")).collect()]
+    rows = [(*packed[0].tolist(), *p.tolist()) for p in packed]
+    names = ", ".join(f"{x} long" for x in near_dup.PACKED + near_dup.HUB_PACKED)
+    got = [r.e for r in spark.createDataFrame(rows, names).select(near_dup.estimate().alias("e")).collect()]
     sets = [set(values[a:b].tolist()) for a, b in zip(starts[:-1], starts[1:], strict=True)]
     for e, s in zip(got, sets, strict=True):
         assert e == pytest.approx(len(s & sets[0]) / len(s | sets[0]), abs=0.08)
