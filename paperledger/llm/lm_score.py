@@ -6,6 +6,9 @@ counted over whole corpora: the background over every document, the target over
 counts are kept in ``BUCKETS`` buckets of a hash of the two word numbers, the same for both models, so what
 is sent to the executors has a fixed size; colliding bigrams share a count.
 
+Which documents are targets is looked up in the executors while their ids are few enough to send, else joined;
+the texts are shuffled in the second case only.
+
 A document's score is the mean over its tokens of target loss less background loss, in nats; lower is nearer
 to the target. Its own tokens are taken out of the counts first, so no document is judged by itself.
 
@@ -23,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, Text, Words, checkpointed, chunks, mix, table
+from .common import LOWER, NOT_SPACE, Scratch, Text, Words, chunks, mix, table
 
 VOCABULARY, BUCKETS = 1 << 15, 1 << 20
+#: Ids of target documents that are sent to the executors (64 MB); more are joined instead.
+SENT_IDS = 8 << 20
 #: Weight of the unigram distribution in a bigram's, in tokens; added count of each word in a unigram's.
 PRIOR, ADDED = 20.0, 0.1
 _U = np.uint64
@@ -58,13 +63,24 @@ class Tokens:
         self.bucket = (mix(self.before.astype(_U) * _U(1 << 32) + self.word.astype(_U)) % _U(BUCKETS)).astype(np.int64)
 
 
-def count_batches(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+def targets_of(part: pa.RecordBatch, ids) -> np.ndarray:
+    """Which rows are targets: by the column if the ids weren't sent."""
+    if ids is None:
+        return part.column(1).to_numpy(zero_copy_only=False)
+    column, known = part.column(0), ids.value
+    own = column.fill_null(0).to_numpy()
+    at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+    found = known[at] == own if len(known) else np.zeros(len(own), dtype=bool)
+    return found & column.is_valid().to_numpy(zero_copy_only=False)
+
+
+def count_batches(batches: Iterator[pa.RecordBatch], sent, ids) -> Iterator[pa.RecordBatch]:
     """Counts by key, for all texts and for target ones: buckets from 0, words below it (-1 is number 0)."""
     for batch in batches:
         keys, goals = [], []
         for part, text in chunks(batch):
             tokens = Tokens(text, sent.value)
-            goal = np.repeat(part.column(1).to_numpy(zero_copy_only=False), tokens.count)
+            goal = np.repeat(targets_of(part, ids), tokens.count)
             for key in (tokens.bucket, -1 - tokens.word):
                 keys.append(key)
                 goals.append(goal)
@@ -117,10 +133,10 @@ class Model:
         return np.searchsorted(s, wanted, side="right") - np.searchsorted(s, wanted, side="left")
 
 
-def score_batches(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+def score_batches(batches: Iterator[pa.RecordBatch], sent, ids) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, text in chunks(batch, "text"):
-            (general, target), n = sent.value.losses(text, part.column(1).to_numpy(zero_copy_only=False))
+            (general, target), n = sent.value.losses(text, targets_of(part, ids))
             none, size = n == 0, np.maximum(n, 1)
             columns = [pa.array(x / size, mask=none) for x in (target, general, target - general)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
@@ -133,19 +149,23 @@ def vocabulary_of(docs: DataFrame, size: int) -> np.ndarray:
     return np.sort(rows.column("word").to_numpy().view(_U))
 
 
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame, size: int = VOCABULARY) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, size: int = VOCABULARY, sent_ids: int = SENT_IDS) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every row of (doc_id, text). targets: doc_id."""
     context = docs.sparkSession.sparkContext
-    chosen = checkpointed(targets.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("hit", F.lit(True)))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id", "left")
-    slim = slim.select("doc_id", F.coalesce("hit", F.lit(False)).alias("is_target"), "text")
+    chosen = Scratch(docs.sparkSession)(targets.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct())
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(False).alias("is_target"), "text")
+    ids = None
+    if chosen.count() <= sent_ids:
+        ids = context.broadcast(np.sort(chosen.toArrow().column("doc_id").to_numpy()))
+    else:
+        slim = slim.drop("is_target").join(chosen.withColumn("hit", F.lit(True)), "doc_id", "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("is_target"), "text")
     vocabulary = vocabulary_of(docs, size)
     sent = context.broadcast(vocabulary)
-    counts = slim.mapInArrow(lambda batches: count_batches(batches, sent), "key long, n long, target long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
+    counts = slim.mapInArrow(lambda batches: count_batches(batches, sent, ids), "key long, n long, target long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
     # A row for each bucket and each word of the vocabulary at most.
     rows = counts.toArrow()
     model = context.broadcast(Model(vocabulary, *(rows.column(c).to_numpy() for c in ("key", "n", "target"))))
-    return slim.mapInArrow(lambda batches: score_batches(batches, model), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return slim.mapInArrow(lambda batches: score_batches(batches, model, ids), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
