@@ -28,11 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, NOT_SPACE, POWERS, Text, Words, checkpointed, chunks, lists, mix, shuffle_width, table
+from .common import BYTE_VALUE, NOT_SPACE, POWERS, Scratch, Text, Words, chunks, lists, mix, shuffle_width, table
 
 LEAST_WORDS = 50
-#: Documents that are aligned with one reading of an earlier one.
-RUN = 256
 _U = np.uint64
 _KEEP_CASE = np.arange(256, dtype=np.uint8)
 LINED = "doc_id long, version long, lines array<long>, words array<int>, keys array<long>"
@@ -190,24 +188,26 @@ def align_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.
 
 def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, version, kept): for documents that lose lines, which lines stay. docs: doc_id, version, text."""
-    width = shuffle_width(docs.sparkSession)
+    width, scratch = shuffle_width(docs.sparkSession), Scratch(docs.sparkSession)
     lined = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(lambda batches: line_batches(batches, least), LINED)
-    lined = checkpointed(lined.where("size(keys) > 0").dropDuplicates(["doc_id", "version"]))
+    lined = scratch(lined.where("size(keys) > 0").dropDuplicates(["doc_id", "version"]))
     keyed = lined.select(F.explode("keys").alias("key"), "doc_id", "version")
     # The earliest document with a key, if another one has it too.
     first = F.min(F.struct("doc_id", "version"))
-    owners = checkpointed(keyed.groupBy("key").agg(first.alias("o"), F.max("doc_id").alias("last")).where("last > o.doc_id").select("key", F.col("o.doc_id").alias("hub"), F.col("o.version").alias("hub_version")))
-    pairs = checkpointed(keyed.join(owners, "key").where("doc_id > hub").select("hub", "hub_version", "doc_id", "version").distinct())
-    many = pairs.groupBy("hub", "hub_version").count().where(F.col("count") > RUN).select("hub", "hub_version", F.ceil(F.col("count") / RUN).alias("runs"))
-    dealt = pairs.join(many, ["hub", "hub_version"], "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "version"), F.coalesce("runs", F.lit(1)))).drop("runs")
+    owners = scratch(keyed.groupBy("key").agg(first.alias("o"), F.max("doc_id").alias("last")).where("last > o.doc_id").select("key", F.col("o.doc_id").alias("hub"), F.col("o.version").alias("hub_version")))
+    pairs = scratch(keyed.join(owners, "key").where("doc_id > hub").select("hub", "hub_version", "doc_id", "version").distinct())
+    # The pairs of one earlier document are dealt over all parts, each with a copy of it.
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("doc_id", "version"), F.lit(width)))
     hubs = dealt.select("hub", "hub_version", "salt").distinct().select("hub", "hub_version", "salt", F.lit(0).alias("role"), F.col("hub").alias("doc_id"), F.col("hub_version").alias("version"))
     wanted = dealt.select("hub", "hub_version", "salt", F.lit(1).alias("role"), "doc_id", "version").unionByName(hubs)
     rows = wanted.join(lined, ["doc_id", "version"]).select("hub", "hub_version", "salt", "role", "doc_id", "version", "lines", "words", "keys")
     sorted_rows = rows.repartition(width, "hub", "hub_version", "salt").sortWithinPartitions("hub", "hub_version", "salt", "role", "doc_id", "version")
-    gone = checkpointed(sorted_rows.mapInArrow(lambda batches: align_batches(batches, least), "doc_id long, version long, gone array<int>"))
+    gone = scratch(sorted_rows.mapInArrow(lambda batches: align_batches(batches, least), "doc_id long, version long, gone array<int>"))
     # A document meets few earlier ones for each of its lines; their deletions are united.
     united = gone.select("doc_id", "version", F.explode("gone").alias("line")).groupBy("doc_id", "version").agg(F.collect_set("line").alias("gone"))
-    return checkpointed(united)
+    united = scratch(united)
+    scratch.drop(united)
+    return united
 
 
 def drop_batches(batches: Iterator[pa.RecordBatch], text_at: int, gone_at: int) -> Iterator[pa.RecordBatch]:
@@ -231,7 +231,8 @@ def deduplicate(docs: DataFrame, least: int = LEAST_WORDS, name: str = "n_delete
     plain = docs.toDF(*own)
     key = [F.col(own[id_at]).cast("long").alias("doc_id"), F.xxhash64(own[text_at]).alias("version")]
     gone = repeated_lines(plain.select(*key[:1], F.col(own[text_at]).alias("text"), key[1]), least)
-    joined = plain.select(*own, *key).join(gone, ["doc_id", "version"], "left").select(*own, "gone")
+    # A merge at every size: the documents that lose lines have no bound. This is the one time that texts move.
+    joined = plain.select(*own, *key).join(gone.hint("merge"), ["doc_id", "version"], "left").select(*own, "gone")
     schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(own, docs.schema.fields, strict=True)) + ", gone int"
     return joined.mapInArrow(lambda batches: drop_batches(batches, text_at, len(own)), schema).toDF(*docs.columns, name)
 
