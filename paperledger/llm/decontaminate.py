@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperledger.session import ship
+
 from .common import ALNUM, Text, Words, chunks, table, text_of
 
 WINDOW, GRAM = 10, 5
@@ -158,6 +160,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", ite
     """The rows of docs with four more columns last, named as in ``FOUND`` (with underscores where docs has
     such a name): the number of words, the spans of words that occur in benchmark windows, and the ids, sorted
     as strings, of the items that have them."""
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     items = bench.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0

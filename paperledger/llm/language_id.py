@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperledger.session import ship
+
 from .adam import Adam
 from .common import Text, chunks, table
 from .sampling import first_rows, pieces, remainder
@@ -192,6 +194,7 @@ def fit(docs: DataFrame) -> Network | None:
 
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of (doc_id, text, lang)."""
+    ship(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     sent = docs.sparkSession.sparkContext.broadcast(fit(slim))
     held = F.coalesce(remainder(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))

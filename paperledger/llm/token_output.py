@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperledger.session import ship
+
 from .common import checkpoint_root, chunks, lists, shuffle_width, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -106,6 +108,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], name: str, end_id: int) ->
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes (part, doc_id, part_start, n_tokens, ids) in ascending id order to ORC files in ``path``."""
+    ship(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ranged = slim.repartitionByRange(parts or shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     (

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperledger.session import ship
+
 from .common import Words, chunks, table
 from .sampling import labelled, remainder
 
@@ -266,6 +268,7 @@ def score_batches(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.Record
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score) of every row of (doc_id, text)."""
+    ship(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sent = docs.sparkSession.sparkContext.broadcast(fit(slim, labels))
     held = F.coalesce(remainder(F.col("doc_id"), FOLDS) == 0, F.lit(False))
