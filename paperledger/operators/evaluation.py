@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperledger.functions.record import amount_field, kind, parse_object, text_field, unparseable
+from paperledger.functions.record import amount_field, parse_object, text_field, unparseable
 from paperledger.functions.text import norm
 from paperledger.schema import AMOUNTS, SCORED
 
