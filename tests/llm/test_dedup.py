@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from paperledger.llm import decontaminate, graph, line_dedup, near_dup, packing, quality_rules, registry, token_output
-from paperledger.llm.common import Scratch, Text, Words, chunks, table, text_of
+from paperledger.llm.common import Scratch, Words, chunks, table, text_of
 
 SF = "/root/testdata/sf0.001"
 
