@@ -25,14 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from paperledger.session import ship
+
 from .adam import Adam
 from .common import Text, chunks, table, text_of
 from .sampling import labelled, pieces, remainder
 
 WIDTH, CHUNK, FILTERS, EMBED, HIDDEN = 6, 256, 16, 6, 12
-PIECES_A_STEP = 3
+PIECES_A_STEP, SHORT_SHARE = 3, 0.35
 CLASSES = 137
-PER_CLASS, STEPS, BATCH, RATE, SEED = 1200, 260, 48, 0.01, 5
+PER_CLASS, STEPS, BATCH, RATE, SEED = 1200, 360, 48, 0.01, 5
 FOLDS, THRESHOLD = 5, 0.3
 
 #: ASCII bytes are classes of their own, others go by their upper five bits; the last class pads.
@@ -125,6 +127,15 @@ class Scorer:
         return 1 / (1 + np.exp(-np.bincount(row, length * logit, n) / np.bincount(row, length, n)))
 
 
+def shortened(piece: str, rng: np.random.Generator) -> str:
+    """Now and then a part of a piece, of any order of length, since short documents are few."""
+    if rng.random() >= SHORT_SHARE:
+        return piece
+    size = int(2 ** rng.uniform(4, 8))
+    start = int(rng.integers(0, max(1, len(piece) - size + 1)))
+    return piece[start : start + size]
+
+
 def train(samples: list[tuple[list[str], int]]) -> Network:
     """samples: pieces of a document and its label. Batches hold as many documents of either label."""
     net, rng = Network(), np.random.default_rng(SEED)
@@ -132,7 +143,7 @@ def train(samples: list[tuple[list[str], int]]) -> Network:
     adam = Adam(net.w, RATE)
     for step in range(STEPS):
         pick = np.concatenate([rng.choice(x, BATCH // 2) for x in by])
-        some = [(d, piece) for d, i in enumerate(pick) for piece in samples[i][0][:PIECES_A_STEP]]
+        some = [(d, shortened(piece, rng)) for d, i in enumerate(pick) for piece in samples[i][0][:PIECES_A_STEP]]
         text = text_of(pa.array([x for _, x in some], pa.large_string()))
         adam(net.slopes(text, np.array([d for d, _ in some]), np.repeat((0.0, 1.0), BATCH // 2)), 1.0 if step < STEPS * 0.7 else 0.2)
     return net
@@ -158,6 +169,7 @@ def score_batches(batches: Iterator[pa.RecordBatch], sent, name: str) -> Iterato
 
 def scored(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
     """The rows of docs (doc_id, text and any others) with the score as a last column of that name."""
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text"), labels))
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     return docs.mapInArrow(lambda batches: score_batches(batches, sent, name), schema)
