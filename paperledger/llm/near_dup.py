@@ -36,9 +36,9 @@ from .graph import components, joined
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 32, 5
-PERMS, BITS = 1024, 1
+PERMS, BITS = 2048, 1
 #: Standard errors of the estimate that a pair may lie below the threshold and still be compared in full.
-SLACK = 5.0
+SLACK = 4.5
 #: Rounds in which each class outside the largest component of a bucket is compared with the likeliest of a
 #: few members of that component, and their number in each bucket.
 ROUNDS, REPRESENTATIVES = 3, 6
