@@ -171,6 +171,39 @@ def test_lm_is_brute_force(spark):
             assert (sent[i].target_loss, sent[i].background_loss, sent[i].score) == pytest.approx((t, g, t - g))
 
 
+def test_lm_counts_every_word_and_pair(spark):
+    rng = random.Random(8)
+    # More distinct words than any fixed table of the first version held, most of them rare.
+    texts = [" ".join(rng.choice(["the", "of", f"r{rng.randrange(60_000)}", f"only{i}x{k}"]) for k in range(2_000)) for i in range(60)]
+    texts += [texts[3], "", "the"]
+    chosen = set(range(0, 60, 4)) | {60}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    targets = spark.createDataFrame([(i,) for i in sorted(chosen)], "doc_id long")
+    words = [t.split() for t in texts]
+    every = [(Counter(t), Counter(zip([None, *t], t))) for t in words]
+    models = []
+    for some in (chosen, range(len(texts))):
+        models.append((sum((every[i][0] for i in some), Counter()), sum((every[i][1] for i in some), Counter()), some))
+    size = len({w for t in words for w in t}) + 1
+    assert size > 32_768
+
+    def loss(i, single, pairs, some):
+        mine, (own, own_pairs) = int(i in some), every[i]
+        total, out = sum(single.values()) - mine * len(words[i]), 0
+        for a, b in zip([None, *words[i]], words[i]):
+            before = single[a] - mine * own[a]
+            uni = (single[b] - mine * own[b] + lm_score.ADDED) / (total + lm_score.ADDED * size)
+            out -= math.log((min(pairs[a, b] - mine * own_pairs[a, b], before) + lm_score.PRIOR * uni) / (before + lm_score.PRIOR))
+        return out / len(words[i])
+
+    wanted = {i: [loss(i, *m) for m in models] for i in (0, 1, 3, 4, 60, 62)}
+    for sent in ({}, {"sent_pairs": 0, "sent_words": 0}, {"sent_pairs": 40, "sent_words": 2}):
+        got = {r.doc_id: r for r in lm_score.cross_entropy_difference(docs, targets, **sent).collect()}
+        assert len(got) == len(texts) and got[61].score is None
+        for i, (t, g) in wanted.items():
+            assert (got[i].target_loss, got[i].background_loss, got[i].score) == pytest.approx((t, g, t - g), abs=1e-7)
+
+
 def test_batches_of_any_size_score_alike():
     net = language_id.Network(["a", "b"])
     texts = ["some words here " * 30, "x", "más texto"]
