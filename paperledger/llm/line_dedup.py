@@ -8,7 +8,8 @@ A pair is aligned by patience diff over line hashes: lines that are unique on bo
 anchors, grown to blocks of equal lines. What is left over is aligned again, so passages in another order are
 found too; blocks without any unique line are aligned by the hashes that made the pair. Aligned blocks of
 ``LEAST_WORDS`` words or more are deleted from the later document (the one of the greater id). In effect a
-line goes exactly if it lies in a run of lines of that many words which also runs in an earlier document.
+line goes exactly if it lies in a run of lines of that many words which also runs in an earlier document: the
+shared hashes decide that, and alignment adds no line to it. Runs that a changed line parts aren't joined.
 
 Pairs are aligned on line hashes alone; texts move only when the deletions are applied.
 
