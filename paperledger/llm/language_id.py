@@ -4,9 +4,10 @@ The network is trained in numpy by backpropagation through time on windows of ``
 every byte of a text a probability for each language, and a document the mean over its bytes. A text is
 cut into windows that cover it whole; the windows of many texts run side by side.
 
-The sample for training has at most ``PER_LANG`` documents of each of at most ``MAX_LANGS`` languages (the
-most frequent; more raise an error), by a hash of the id, and pieces of their text. Rows without lang or of
-the held-out fold are never learned from; only text goes into a prediction.
+The sample for training has at most ``PER_LANG`` documents of each language, by a hash of the id, and pieces of
+their text. All languages are learned, those after the ``FIRST_LANGS`` most frequent from ``LEAST_DOCS``
+documents on; a language of fewer has no class, and its documents get that of the nearest one. Rows without
+lang or of the held-out fold are never learned from; only text goes into a prediction.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; if nothing can be learned
 (an empty table, no lang) every text is ``und``; a null doc_id counts as not held out and is not learned
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperledger.session import ship
@@ -29,7 +30,7 @@ from .common import Text, chunks, table
 from .sampling import first_rows, pieces, remainder
 
 SPAN, HIDDEN, LANES = 64, 8, 1024
-PER_LANG, MAX_LANGS = 300, 64
+PER_LANG, FIRST_LANGS, LEAST_DOCS = 300, 64, 5
 STEPS, BATCH, RATE, SEED = 220, 96, 0.02, 7
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
@@ -112,15 +113,18 @@ def train(samples: list[tuple[str, bytes]], langs: list[str]) -> Network:
     lang = np.array([langs.index(x) for x, _ in samples])
     by = [np.flatnonzero(lang == k) for k in range(len(langs))]
     adam = Adam(net.w, RATE)
-    for step in range(STEPS):
-        pick = np.array([rng.choice(by[k % len(langs)]) for k in range(BATCH)])
+    # Where a batch can't hold all languages they take turns, in as many more steps.
+    steps = STEPS * -(-len(langs) // BATCH)
+    for step in range(steps):
+        turn = step * BATCH if len(langs) > BATCH else 0
+        pick = np.array([rng.choice(by[(turn + k) % len(langs)]) for k in range(BATCH)])
         data, real = np.zeros((SPAN, BATCH), dtype=np.uint8), np.zeros((SPAN, BATCH), dtype=np.float32)
         for lane, i in enumerate(pick):
             piece = samples[i][1]
             start = rng.integers(0, max(1, len(piece) - SPAN + 1))
             cut = np.frombuffer(piece[start : start + SPAN], dtype=np.uint8)
             data[: len(cut), lane], real[: len(cut), lane] = cut, 1
-        adam(net.slopes(data, lang[pick], real), 1.0 if step < STEPS * 0.6 else 0.25)
+        adam(net.slopes(data, lang[pick], real), 1.0 if step < steps * 0.6 else 0.25)
     return net
 
 
@@ -147,8 +151,9 @@ def has_letter(raw: bytes) -> bool:
 def label_positions(net: Network, text: Text) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For runs of windows: rows, real lengths, and (SPAN, lanes, languages) probabilities of every byte."""
     data, length, row = windows(text)
-    for i in range(0, len(row), LANES):
-        yield row[i : i + LANES], length[i : i + LANES], net.probabilities(np.ascontiguousarray(data[i : i + LANES].T))
+    lanes = max(1, LANES * FIRST_LANGS // max(FIRST_LANGS, len(net.langs)))
+    for i in range(0, len(row), lanes):
+        yield row[i : i + lanes], length[i : i + lanes], net.probabilities(np.ascontiguousarray(data[i : i + lanes].T))
 
 
 def predict(net: Network, text: Text) -> tuple[np.ndarray, np.ndarray]:
@@ -178,13 +183,19 @@ def predict_batches(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.Reco
 def fit(docs: DataFrame) -> Network | None:
     """docs: doc_id, text, lang. None if there is nothing to learn from."""
     known = docs.where((remainder(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # Languages are few; one more than the bound is read to tell when they aren't.
-    langs = [x["lang"] for x in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS + 1).collect()]
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"there are more than {MAX_LANGS} languages")
-    if not langs:
+    # A row for each language that is learned.
+    counted = known.groupBy("lang").count()
+    first = [x["lang"] for x in counted.orderBy(F.desc("count"), "lang").limit(FIRST_LANGS).collect()]
+    if not first:
         return None
-    chosen = first_rows(known.select("doc_id", "lang"), "lang", langs, PER_LANG)
+    chosen = first_rows(known.select("doc_id", "lang"), "lang", first, PER_LANG)
+    langs = first
+    if len(first) == FIRST_LANGS:
+        more = [x["lang"] for x in counted.where(~F.col("lang").isin(first) & (F.col("count") >= LEAST_DOCS)).select("lang").orderBy("lang").collect()]
+        # Of each part of the table only the first rows of a language are shuffled.
+        nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+        rest = known.select("doc_id", "lang").where(F.col("lang").isin(more)).withColumn("nth", nth).where(F.col("nth") <= PER_LANG).drop("nth")
+        chosen, langs = chosen.unionByName(rest), first + more
     rows = known.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("lang", F.xxhash64("doc_id").alias("h"), F.explode(pieces(F.col("text"))).alias("piece"))
     got = rows.orderBy("h", "lang", "piece").limit(PER_LANG * len(langs) * 12).collect()
     samples = [(x["lang"], x["piece"].encode()) for x in got if has_letter(x["piece"].encode())]

@@ -20,6 +20,15 @@ def test_language_held_out(spark):
     assert (got.lang_pred == got.lang).mean() > 0.97 and got.score.between(0, 1).all()
 
 
+def test_more_languages_than_lanes(spark):
+    rows = [(100 * k + i, f"{chr(0x4E00 + 97 * k) * 3} {chr(0x4E10 + 97 * k)} " * 30, f"l{k:03}") for k in range(100) for i in range(8)]
+    rows += [(99_000 + i, "zz", "once") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.fit(docs).langs == [f"l{k:03}" for k in range(100)]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs).collect()}
+    assert len(got) == len(rows) and sum(got[d] == lang for d, _, lang in rows) > 0.5 * len(rows)
+
+
 def numeric(net, key, at, loss):
     step = 1e-3
     old = net.w[key][at]
