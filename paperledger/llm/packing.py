@@ -7,7 +7,10 @@ bound and dealt in the order of their ids to batches of ``BUDGET // bound`` docu
 Places in a bucket come from a range partitioning by id: each part counts its own documents by bucket, and
 one number for each part and bucket is added; no bucket is ever sorted or held as a whole.
 
-Defined cases: null and empty texts have length 0; rows with one doc_id stand by length; a null doc_id stands
+Lengths are words, or a column of the table; ``query`` counts words, as its SQL does, and ``token_query`` the ids
+of the tokenizer of ``token_output``, the end of the text included.
+
+Defined cases: null and empty texts have length 0 in words; rows with one doc_id stand by length; a null doc_id stands
 first; an empty table gives no rows; with fewer lengths than buckets each length is a bucket of its own;
 other columns are ignored. A document over the budget is a batch by itself.
 """
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, shuffle_width, table
+from .token_output import END_ID, TOKENIZER, encode_batches
 
 BUCKETS, BUDGET = 8, 32_768
 RANKED = "part int, doc_id long, n_tokens long, bucket int, bucket_length long, nth long"
@@ -72,19 +76,22 @@ def rank_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), part, dtype=np.int32)), *batch.columns, pa.array(nth)], ["part", "doc_id", "n_tokens", "bucket", "bucket_length", "nth"])
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """(doc_id, n_tokens, bucket, bucket_length, batch, place) of every row of (doc_id, text). Tokens are words."""
+def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, length: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, bucket, bucket_length, batch, place) of every row of (doc_id, text).
+
+    length: the column of lengths, not null; without one tokens are words.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
-    sized = scratch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("n_tokens")))
+    sized = scratch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (words if length is None else F.col(length).cast("long")).alias("n_tokens")))
     # A row for each length at most, however many documents.
     histogram = sized.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").toArrow()
     ends = bounds(histogram.column("n_tokens").to_numpy(), histogram.column("n").to_numpy(), buckets) or [0]
-    number, length = F.lit(len(ends) - 1), F.lit(ends[-1])
+    number, upper = F.lit(len(ends) - 1), F.lit(ends[-1])
     for k in range(len(ends) - 2, -1, -1):
-        number, length = F.when(F.col("n_tokens") <= ends[k], k).otherwise(number), F.when(F.col("n_tokens") <= ends[k], ends[k]).otherwise(length)
-    dealt = sized.select("doc_id", "n_tokens", number.cast("int").alias("bucket"), length.cast("long").alias("bucket_length"))
+        number, upper = F.when(F.col("n_tokens") <= ends[k], k).otherwise(number), F.when(F.col("n_tokens") <= ends[k], ends[k]).otherwise(upper)
+    dealt = sized.select("doc_id", "n_tokens", number.cast("int").alias("bucket"), upper.cast("long").alias("bucket_length"))
     sorted_parts = dealt.repartitionByRange(shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id", "n_tokens")
     ranked = scratch(sorted_parts.select("doc_id", "n_tokens", "bucket", "bucket_length").mapInArrow(lambda batches: rank_batches(batches, len(ends)), RANKED))
     scratch.drop(ranked)
@@ -104,6 +111,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def length_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of ids of each text."""
+    for batch in encode_batches(batches, TOKENIZER, END_ID):
+        yield batch.select(["doc_id", "n_tokens"])
+
+
+def token_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return pack(docs.mapInArrow(length_batches, "doc_id long, n_tokens long"), length="n_tokens")
+
+
 def _oracle() -> str:
     layers = ["l0 AS (SELECT j, len * cum AS cost, -1 AS i FROM s)"]
     for k in range(1, BUCKETS):

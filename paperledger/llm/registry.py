@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_output": token_output.query,
     "op8_near_dup": near_dup.query,
     "op9_packing": packing.query,
+    "op9_packing_tokens": packing.token_query,
     "op10_line_dedup": line_dedup.query,
 }
 ORACLES: dict[str, str] = {

@@ -276,6 +276,17 @@ def test_hosts_that_mostly_fail_are_dropped(spark):
     assert 0 < rates["good"] < rates["one"] < rates["bad"] < 19 / 20
 
 
+def test_packing_by_token_counts(spark, tmp_path):
+    got = {r.doc_id: r for r in registry.QUERIES["op9_packing_tokens"](spark, SF).collect()}
+    token_output.write_tokens(table(spark, SF, "documents"), str(tmp_path / "ids"))
+    ids = {r.doc_id: r.n_tokens for r in token_output.read_tokens(spark, str(tmp_path / "ids")).select("doc_id", "n_tokens").collect()}
+    assert {i: r.n_tokens for i, r in got.items()} == ids
+    total = {}
+    for r in got.values():
+        total[r.bucket, r.batch] = total.get((r.bucket, r.batch), 0) + r.bucket_length
+    assert all(n <= packing.BUDGET for n in total.values() if n != max(ids.values()))
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_queries_agree_with_sql(spark, name):
     import duckdb
