@@ -228,7 +228,7 @@ def dealt_out(row0: int, held: list, documents: list, buckets: int) -> pa.Record
     bucket, columns = bucket[order], [x[order] for x in columns]
     begins = np.flatnonzero(np.diff(bucket, prepend=-1))
     out: list[list] = [[] for _ in names_of(PARTS)]
-    for begin, end in zip(begins, np.append(begins[1:], len(bucket)), strict=True):
+    for begin, end in zip(begins, np.append(begins, len(bucket))[1:], strict=True):
         row, *numbers, key, pair = (x[begin:end] for x in columns)
         far = numbers[1] & SENT == 0
         cells = [int(bucket[begin]), row0, packed(np.diff(row, prepend=0)), *map(packed, numbers), key.tobytes(), pair[far].tobytes(), None, None, None]
