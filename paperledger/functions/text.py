@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paperledger.schema import HEAD_CHARS, MAX_CHARS
 
-# ---- Fixed values: patterns. ----
-GROUPED_NUMBER = r"(?<![\d,.])(?:\d{1,3}(?:,\d{3})+|\d{1,2}(?:,\d{2})+,\d{3})(?=\.\d|(?![\d,]))"
-NUMBER = r"\d[\d,]*(?:\.\d+)?"
+# ---- Fixed values: patterns, in which digits are those of any script. ----
+GROUPED_NUMBER = r"(?U)(?<![\d,.])(?:\d{1,3}(?:,\d{3})+|\d{1,2}(?:,\d{2})+,\d{3})(?=\.\d|(?![\d,]))"
+NUMBER = r"(?U)\d[\d,]*(?:\.\d+)?"
 GSTIN = r"\d{2}[A-Z]{5}\d{4}[A-Z][A-Z\d]Z[A-Z\d]|\d{4}[A-Z]{3}\d{5}[A-Z]{2}[A-Z\d]"
 CUT = "\n[...]\n"
 DOCUMENT = "DOCUMENT:\n"
 
+#: The decimal digits of other scripts, in runs from zero to nine.
+OTHER_DIGITS = "".join(chr(c) for c in range(0x80, sys.maxunicode) if unicodedata.category(chr(c)) == "Nd")
+
+
+def ascii_digits(text: Column) -> Column:
+    """Decimal digits of any script as 0 to 9."""
+    plain = "".join(str(unicodedata.digit(c)) for c in OTHER_DIGITS)
+    return F.when(text.rlike(r"(?U)[\d&&[^0-9]]"), F.translate(text, OTHER_DIGITS, plain)).otherwise(text)
+
 
 def stripped(text: Column) -> Column:
     """Without white space of any kind at either end."""
@@ -44,7 +56,7 @@ def user_message(text: Column) -> Column:
 
 def numbers_in(text: Column) -> Column:
     """The distinct amounts that a text prints, as decimals of two places."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), lambda m: F.replace(m, F.lit(","), F.lit("")).try_cast("decimal(18,2)"))
+    found = F.transform(F.regexp_extract_all(ascii_digits(text), F.lit(NUMBER), F.lit(0)), lambda m: F.replace(m, F.lit(","), F.lit("")).try_cast("decimal(18,2)"))
     return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
 
 

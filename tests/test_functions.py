@@ -111,3 +111,9 @@ def test_to_json_keeps_order_nulls_and_letters(spark):
     assert list(json.loads(out)) == FIELDS
     assert json.loads(out) == dict(zip(FIELDS, (True, 'Ünï "q"', None, "1", None, "INR", 10, 1.5, None, None, "a\nb", "Rent"), strict=True))
     assert "Ünï" in out and ":10," in out
+
+
+def test_digits_of_other_scripts(spark):
+    assert one(spark, text.numbers_in, "₹ १,२३४.५० und ٧٫ ٨٩ 𝟙𝟚") == [Decimal("1234.50"), Decimal(7), Decimal(89), Decimal(12)]
+    assert one(spark, record.as_number, "₹ १,२३४.५०") == Decimal("1234.50")
+    assert one(spark, text.normalize_numbers, "१,२३,४५६.०० 1,000") == "१२३४५६.०० 1000"
