@@ -64,17 +64,20 @@ def guided_check(check: Column, guided: Column) -> Column:
 def typed(answers: DataFrame, output_col: str = "output") -> DataFrame:
     """Adds the typed fields of an answer, and ``guided``: whether it lacks an object or some field of it."""
     parsed = answers.withColumn("_object", parse_object(F.col(output_col)))
-    guided = F.col("_object").isNull() | ~complete(F.col(output_col))
-    return parsed.select(*answers.columns, guided.alias("guided"), *clean(F.col("_object")))
+    return parsed.select(*answers.columns, incomplete(F.col("_object"), F.col(output_col)).alias("guided"), *clean(F.col("_object")))
+
+
+def incomplete(value: Column, output: Column) -> Column:
+    """Whether an answer lacks an object or some field of it."""
+    return value.isNull() | ~F.coalesce(complete(output), F.lit(False))
 
 
 def ledger(extracted: DataFrame) -> DataFrame:
     """(file, fields, check) of rows with (file, status, text, guided, fields). Rows that aren't ok keep no field;
-    their check is the status."""
-    ok = extracted.where("status = 'ok'")
-    done = check(ok).withColumn("check", guided_check(F.col("check"), F.col("guided")))
-    other = extracted.where("status <> 'ok' OR status IS NULL").select("file", *(F.lit(None).cast(extracted.schema[f].dataType).alias(f) for f in FIELDS), F.col("status").alias("check"))
-    return done.select("file", *FIELDS, "check").unionByName(other)
+    their check is the status. All rows go the same way once, so what they come from is evaluated once."""
+    ok = F.coalesce(F.col("status") == "ok", F.lit(False))
+    rows = extracted.select("file", "status", "guided", ok.alias("_ok"), F.when(ok, F.col("text")).alias("text"), *(F.when(ok, F.col(f)).alias(f) for f in FIELDS))
+    return check(rows).select("file", *FIELDS, F.when(F.col("_ok"), guided_check(F.col("check"), F.col("guided"))).otherwise(F.col("status")).alias("check"))
 
 
 def whole_amounts(row: dict) -> dict:

@@ -30,7 +30,12 @@ def judge(answers: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFra
 
     answers: key, model, output, seconds. wanted: key and the fields.
     """
-    both = answers.withColumn("_object", parse_object(F.col("output"))).join(wanted.select(key, *SCORED), key)
+    return judge_joined(answers.join(wanted.select(key, *SCORED), key), key)
+
+
+def judge_joined(both: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``judge`` of rows that hold an answer and what is wanted: key, model, output, seconds and the fields."""
+    both = both.withColumn("_object", parse_object(F.col("output")))
     valid = F.col("_object").isNotNull()
     fields = [
         F.struct(
@@ -63,6 +68,19 @@ def misses(judged: DataFrame, key: str = "doc_id") -> DataFrame:
     return wrong.unionByName(broken)
 
 
+def percent(part: Column, whole: Column) -> Column:
+    """A share as a text of whole percents; halves go to the even one, as in printed reports."""
+    return F.concat(F.bround(part * 100 / whole, 0).cast("int").cast("string"), F.lit("%"))
+
+
+def report(judged: DataFrame, models: list[str], key: str = "doc_id") -> DataFrame:
+    """(metric, a column for each model): valid answers, each field, and documents with all fields right, in percents."""
+    fields = field_accuracy(judged).select(F.col("field").alias("metric"), "model", percent(F.col("n_correct"), F.col("n")).alias("share"))
+    docs = document_scores(judged, key)
+    whole = docs.select("model", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), percent(F.col(c), F.col("n")).alias("share")) for m, c in (("valid JSON", "n_valid"), ("ALL fields right", "n_exact"))))).alias("x"))
+    return fields.unionByName(whole.select("model", "x.*")).groupBy("metric").pivot("model", models).agg(F.first("share"))
+
+
 def head_to_head(accuracy: DataFrame, models: list[str]) -> DataFrame:
     """A row for each field with a column for each model's share of correct answers, in thousandths."""
     rate = F.floor(F.first("n_correct") * 1000 / F.first("n")).cast("long")

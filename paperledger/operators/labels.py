@@ -40,9 +40,12 @@ def label_status(rows: DataFrame, labels: DataFrame, answers: DataFrame) -> Data
 def corrected(labels: DataFrame, corrections: DataFrame) -> DataFrame:
     """Labels with hand corrections: rows (sha256, field, value as text); a null value sets a field to null.
 
-    Fields that begin with an underscore are ignored, and so are unknown ones.
+    Fields that begin with an underscore are ignored, and so are unknown ones. Of several corrections of one field
+    the last one counts, by the column ``nth`` if there is one; on a tie the greatest text, and null only by itself.
     """
-    some = corrections.where(F.col("field").isin(FIELDS)).groupBy("sha256").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("value")))).alias("_fix"))
+    order = F.struct(F.col("nth") if "nth" in corrections.columns else F.lit(0).alias("nth"), "value")
+    last = corrections.where(F.col("field").isin(FIELDS)).groupBy("sha256", "field").agg(F.max(order)["value"].alias("value"))
+    some = last.groupBy("sha256").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("value")))).alias("_fix"))
     joined = labels.join(some, "sha256", "left")
     columns = []
     for c in labels.columns:

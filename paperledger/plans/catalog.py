@@ -11,6 +11,7 @@ from paperledger.functions import record, text
 from paperledger.operators import checks, dataset, evaluation, labels, reports, scoring
 from paperledger.plans import bills as view
 from paperledger.plans.bills import sql_answers, sql_bills, sql_labels, sql_numbers, table
+from paperledger.schema import AMOUNTS as AMOUNT_FIELDS
 from paperledger.schema import FIELDS, HEAD_CHARS, MAX_CHARS, SCORED
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,7 +99,7 @@ query("copy_targets", f"""{_CLASSIFIED}, named AS (SELECT CASE verdict WHEN 'bil
 SELECT target, name, file, sha256 FROM (SELECT *, row_number() OVER (PARTITION BY target, name ORDER BY file, sha256) AS r FROM named) WHERE r = 1""")(
     lambda s, d: scoring.copy_targets(_classified(s, d)))
 query("sensitive_documents", f"""SELECT doc_id, regexp_matches(text, {_re(scoring.SENSITIVE)}) AS sensitive, regexp_matches(text, {_re(scoring.TOTAL_WITH_AMOUNT)}) AS has_total FROM documents""")(
-    lambda s, d: table(s, d, "documents").select("doc_id", F.col("text").rlike("(?i)" + scoring.SENSITIVE).alias("sensitive"), F.col("text").rlike("(?i)" + scoring.TOTAL_WITH_AMOUNT).alias("has_total")))
+    lambda s, d: table(s, d, "documents").select("doc_id", F.col("text").rlike(scoring.FLAGS + scoring.SENSITIVE).alias("sensitive"), F.col("text").rlike(scoring.FLAGS + scoring.TOTAL_WITH_AMOUNT).alias("has_total")))
 
 # ---- text ----
 
@@ -165,8 +166,11 @@ query("check_record", f'{_CHECKED} SELECT key, {AMOUNTS}, gstin, chk AS "check"
 query("ledger", f"{_CHECKED} SELECT * FROM ledger")(_ledger)
 query("check_tally", f"""{_CHECKED} SELECT note, count(*) AS n FROM (SELECT unnest(string_split("check", '; ')) AS note FROM ledger) GROUP BY note""")(
     lambda s, d: _ledger(s, d).select(F.explode(F.split("check", "; ")).alias("note")).groupBy("note").agg(F.count("*").alias("n")))
-query("canonical_json", f"""WITH {sql_bills()} SELECT key, CAST(to_json(is_invoice) AS VARCHAR) || '|' || customer || '|' || rtrim(rtrim(CAST(total AS VARCHAR), '0'), '.') || '|' || category AS parts FROM bills""")(
-    lambda s, d: view.canonical(view.bills(s, d)).select("key", F.concat_ws("|", *(F.get_json_object("json", f"$.{f}") for f in ("is_invoice", "customer", "total", "category"))).alias("parts")))
+_AMOUNT_JSON = "rtrim(rtrim(CAST({0} AS VARCHAR), '0'), '.')"
+_JSON = ", ".join(f"coalesce({'CAST(' + f + ' AS VARCHAR)' if f == 'is_invoice' else _AMOUNT_JSON.format(f) if f in AMOUNT_FIELDS else 'CAST(to_json(' + f + ') AS VARCHAR)'}, 'null')" for f in FIELDS)
+_TEMPLATE = "{{" + ",".join(f'"{f}":{{}}' for f in FIELDS) + "}}"
+query("canonical_json", f"WITH {sql_bills()}, {sql_labels()} SELECT sha256, format('{_TEMPLATE}', {_JSON}) AS json FROM labels0")(
+    lambda s, d: view.labels(view.bills(s, d)).select("sha256", record.to_json().alias("json")))
 
 # ---- labels ----
 
@@ -188,6 +192,7 @@ def _corrections(s: SparkSession, d: str) -> DataFrame:
     fixes = F.array(
         F.struct(F.lit("total").alias("field"), F.when(F.col("key") % 24 == 0, F.lit(None)).otherwise("99.5").alias("value")),
         F.struct(F.lit("vendor").alias("field"), F.concat(F.lit("Vendor "), F.col("key").cast("string")).alias("value")),
+        F.struct(F.lit("vendor").alias("field"), F.lit("Another").alias("value")),
         F.struct(F.lit("_note").alias("field"), F.lit("x").alias("value")),
     )
     return keyed.select("sha256", F.explode(fixes).alias("x")).select("sha256", "x.field", "x.value")
@@ -203,7 +208,7 @@ audited AS MATERIALIZED (
         CASE WHEN invoice_number <> '' AND NOT contains(lower(regexp_replace(text, '[\\s\\-_/]', '', 'g')), lower(regexp_replace(invoice_number, '[\\s\\-_/]', '', 'g'))) THEN 'invoice number not in text' END,
         CASE WHEN abs(subtotal + tax - total) > 1 THEN 'subtotal+tax != total' END,
         CASE WHEN NOT (regexp_full_match(invoice_date, '\\d{{4}}-\\d{{2}}-\\d{{2}}') AND TRY_CAST(invoice_date AS DATE) IS NOT NULL) THEN 'bad date' END,
-        CASE WHEN NOT is_invoice THEN 'teacher says not an invoice' END) AS problems, is_invoice, total, tax FROM labels0
+        CASE WHEN NOT is_invoice THEN 'teacher says not an invoice' END) AS problems, {", ".join(FIELDS)} FROM labels0
 )"""
 query("audit_labels", f"{_AUDIT} SELECT sha256, file, problems, CASE WHEN problems = '' THEN 'auto' ELSE '' END AS approved FROM audited")(
     lambda s, d: _audited(s, d).select("sha256", "file", "problems", "approved"))
@@ -211,52 +216,59 @@ query("audit_tally", f"{_AUDIT} SELECT problem, count(*) AS n FROM (SELECT unnes
     lambda s, d: labels.tally(_audited(s, d)))
 query("audit_counts", f"{_AUDIT} SELECT count(*) AS n_labels, count(*) FILTER (problems = '') AS n_clean, count(*) FILTER (problems <> '') AS n_flagged FROM audited")(
     lambda s, d: labels.audit_counts(_audited(s, d)))
-query("review_sheet", f"{_AUDIT} SELECT sha256, problems, CASE WHEN is_invoice THEN 'True' ELSE 'False' END AS is_invoice, coalesce(CAST(total AS VARCHAR), '') AS total FROM audited")(
-    lambda s, d: labels.review_sheet(_audited(s, d)).select("sha256", "problems", "is_invoice", "total"))
-query("review_typed", f"{_AUDIT} SELECT sha256, is_invoice, total, tax FROM audited")(
-    lambda s, d: labels.typed_review(labels.review_sheet(_audited(s, d))).select("sha256", "is_invoice", "total", "tax"))
+_SHEET = ", ".join("CASE WHEN is_invoice THEN 'True' ELSE 'False' END AS is_invoice" if f == "is_invoice" else f"coalesce(CAST({f} AS VARCHAR), '') AS {f}" for f in FIELDS)
+query("review_sheet", f"{_AUDIT} SELECT problems, CASE WHEN problems = '' THEN 'auto' ELSE '' END AS approved, file, {_SHEET}, sha256 FROM audited")(
+    lambda s, d: labels.review_sheet(_audited(s, d)))
+query("review_typed", f"{_AUDIT} SELECT sha256, {', '.join(FIELDS)} FROM audited")(
+    lambda s, d: labels.typed_review(labels.review_sheet(_audited(s, d))).select("sha256", *FIELDS))
 
 # ---- data sets ----
 
-_KEY = "CASE WHEN coalesce(invoice_number, '') <> '' THEN concat_ws('|', 'bill', coalesce(lower(vendor), 'none'), invoice_number, coalesce(CAST(total AS VARCHAR), 'none')) ELSE 'sha|' || sha256 END"
+_KEY = "CASE WHEN coalesce(invoice_number, '') <> '' THEN CAST(to_json([coalesce(lower(vendor), 'none'), invoice_number, coalesce(CAST(total AS VARCHAR), 'none')]) AS VARCHAR) ELSE CAST(to_json([sha256]) AS VARCHAR) END"
 _GROUPS = f"""WITH {sql_bills()}, {sql_labels()},
-copies AS (SELECT * REPLACE (CASE WHEN key % 20 < 3 AND invoice_number IS NOT NULL THEN 'COPY-' || CAST(key // 60 AS VARCHAR) ELSE invoice_number END AS invoice_number, CASE WHEN key % 20 < 3 THEN 'Shared' ELSE vendor END AS vendor, CASE WHEN key % 20 < 3 THEN CAST(10 AS DECIMAL(18,2)) ELSE total END AS total) FROM labels0),
+copies AS (SELECT * REPLACE (CASE WHEN key % 20 = 4 THEN 'b|c' WHEN key % 20 = 5 THEN 'c' WHEN key % 20 < 3 AND invoice_number IS NOT NULL THEN 'COPY-' || CAST(key // 60 AS VARCHAR) ELSE invoice_number END AS invoice_number,
+    CASE WHEN key % 20 = 4 THEN 'a' WHEN key % 20 = 5 THEN 'a|b' WHEN key % 20 < 3 THEN 'Shared' ELSE vendor END AS vendor, CASE WHEN key % 20 < 3 THEN CAST(10 AS DECIMAL(18,2)) WHEN key % 20 < 6 THEN CAST(key // 2000 AS DECIMAL(18,2)) ELSE total END AS total) FROM labels0),
 keyed AS MATERIALIZED (SELECT *, {_KEY} AS group_key FROM copies),
-g AS (SELECT group_key, count(*) AS n FROM keyed GROUP BY group_key),
-t AS (SELECT *, coalesce(sum(n) OVER (ORDER BY group_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 25 AS test FROM g),
-v AS (SELECT *, NOT test AND coalesce(sum(n) OVER (PARTITION BY test ORDER BY group_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 15 AS valid FROM t),
+g AS (SELECT group_key, sha256('42|' || group_key) AS rank, count(*) AS n FROM keyed GROUP BY group_key),
+t AS (SELECT *, coalesce(sum(n) OVER (ORDER BY rank, group_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 25 AS test FROM g),
+v AS (SELECT *, NOT test AND coalesce(sum(n) OVER (PARTITION BY test ORDER BY rank, group_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 15 AS valid FROM t),
 split AS MATERIALIZED (SELECT group_key, n, CASE WHEN test THEN 'test' WHEN valid THEN 'valid' ELSE 'train' END AS split FROM v)"""
 
 
 def _copies(s: SparkSession, d: str) -> DataFrame:
-    """Labels among which some bills occur more than once."""
-    rows, some = view.labels(view.bills(s, d)), F.col("key") % 20 < 3
-    number = F.when(some & F.col("invoice_number").isNotNull(), F.concat(F.lit("COPY-"), F.floor(F.col("key") / 60).cast("string"))).otherwise(F.col("invoice_number"))
-    return rows.withColumns({"invoice_number": number, "vendor": F.when(some, "Shared").otherwise(F.col("vendor")), "total": F.when(some, F.lit(10).cast("decimal(18,2)")).otherwise(F.col("total"))})
+    """Labels among which some bills occur more than once, and some have vendors and numbers that look alike when joined."""
+    rows, some, place = view.labels(view.bills(s, d)), F.col("key") % 20 < 3, F.col("key") % 20
+    number = F.when(place == 4, "b|c").when(place == 5, "c").when(some & F.col("invoice_number").isNotNull(), F.concat(F.lit("COPY-"), F.floor(F.col("key") / 60).cast("string"))).otherwise(F.col("invoice_number"))
+    vendor = F.when(place == 4, "a").when(place == 5, "a|b").when(some, "Shared").otherwise(F.col("vendor"))
+    total = F.when(some, F.lit(10).cast("decimal(18,2)")).when(place < 6, F.floor(F.col("key") / 2000).cast("decimal(18,2)")).otherwise(F.col("total"))
+    return rows.withColumns({"invoice_number": number, "vendor": vendor, "total": total})
 
 
 def _split(s: SparkSession, d: str) -> DataFrame:
-    return dataset.quota_split(dataset.groups(_copies(s, d), F.lit(0)))
+    return dataset.quota_split(dataset.groups(_copies(s, d)))
 
 
-query("invoice_groups", f"{_GROUPS} SELECT group_key, n FROM g")(lambda s, d: dataset.groups(_copies(s, d)).select("group_key", "n"))
+query("invoice_groups", f"""{_GROUPS} SELECT coalesce(lower(vendor), 'none') AS vendor, invoice_number, total, count(*) AS n FROM copies WHERE coalesce(invoice_number, '') <> '' GROUP BY ALL
+UNION ALL SELECT NULL, sha256, NULL, count(*) FROM copies WHERE coalesce(invoice_number, '') = '' GROUP BY sha256""")(
+    lambda s, d: dataset.groups(_copies(s, d)).withColumn("k", F.from_json("group_key", "array<string>")).select(
+        F.when(F.size("k") > 1, F.col("k")[0]).alias("vendor"), F.when(F.size("k") > 1, F.get("k", F.lit(1))).otherwise(F.col("k")[0]).alias("invoice_number"), F.get("k", F.lit(2)).try_cast("decimal(18,2)").alias("total"), "n"))
 query("group_counts", f"{_GROUPS} SELECT count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_rows FROM g")(
     lambda s, d: dataset.groups(_copies(s, d)).agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_rows")))
-query("split_quota", f"{_GROUPS} SELECT group_key, n, split FROM split")(lambda s, d: _split(s, d).select("group_key", "n", "split"))
+query("split_quota", f"{_GROUPS} SELECT group_key, rank, n, split FROM split JOIN (SELECT group_key, rank FROM g) USING (group_key)")(lambda s, d: _split(s, d).select("group_key", "rank", "n", "split"))
 query("split_pinned", f"""{_GROUPS}, pin AS (SELECT DISTINCT group_key FROM keyed WHERE key % 500 = 1),
-f AS (SELECT group_key, n, coalesce(sum(n) OVER (ORDER BY group_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 15 AS valid FROM g WHERE group_key NOT IN (SELECT group_key FROM pin))
+f AS (SELECT group_key, n, coalesce(sum(n) OVER (ORDER BY rank, group_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 15 AS valid FROM g WHERE group_key NOT IN (SELECT group_key FROM pin))
 SELECT group_key, CASE WHEN valid THEN 'valid' ELSE 'train' END AS split FROM f UNION ALL SELECT group_key, 'test' FROM pin""")(
-    lambda s, d: dataset.quota_split(dataset.groups(_copies(s, d), F.lit(0)), pinned=_copies(s, d).where("key % 500 = 1").select(dataset.group_key().alias("group_key"))).select("group_key", "split"))
+    lambda s, d: dataset.quota_split(dataset.groups(_copies(s, d)), pinned=_copies(s, d).where("key % 500 = 1").select(dataset.group_key().alias("group_key"))).select("group_key", "split"))
 query("split_counts", f"{_GROUPS} SELECT split, CAST(sum(n) AS BIGINT) AS n FROM split GROUP BY split")(
     lambda s, d: _split(s, d).groupBy("split").agg(F.sum("n").alias("n")))
-query("vendor_cap", f"""{_GROUPS}, a AS (SELECT k.sha256, split, coalesce(lower(vendor), 'none') AS ven, k.group_key FROM keyed k JOIN split USING (group_key)),
-r AS (SELECT *, row_number() OVER (PARTITION BY split, ven ORDER BY group_key, sha256) AS r FROM a) SELECT sha256, split FROM r WHERE split <> 'train' OR r <= 16""")(
-    lambda s, d: dataset.cap_vendors(dataset.assign(_copies(s, d), _split(s, d))).select("sha256", "split"))
+query("vendor_cap", f"""{_GROUPS}, a AS (SELECT k.sha256, split, coalesce(lower(vendor), 'none') AS ven, k.group_key, rank FROM keyed k JOIN split USING (group_key) JOIN (SELECT group_key, rank FROM g) USING (group_key)),
+r AS (SELECT *, row_number() OVER (PARTITION BY split, ven ORDER BY rank, group_key, sha256) AS r FROM a) SELECT sha256, split FROM r WHERE split <> 'train' OR r <= 16""")(
+    lambda s, d: dataset.cap_vendors(dataset.split_rows(_copies(s, d))).select("sha256", "split"))
 query("chat_examples", f"""{_GROUPS} SELECT k.sha256, split, CAST(3 AS INTEGER) AS n_messages, 'user' AS role, 'DOCUMENT:' || chr(10) || b.text AS request,
-    k.vendor AS vendor FROM keyed k JOIN split USING (group_key) JOIN bills b ON b.sha256 = k.sha256""")(
-    lambda s, d: dataset.chat(dataset.assign(_copies(s, d), _split(s, d)).drop("text"), view.bills(s, d).select("sha256", "text")).select(
+    k.vendor AS vendor, k.category AS category, CASE WHEN k.is_invoice THEN 'true' ELSE 'false' END AS is_invoice, k.invoice_number AS invoice_number FROM keyed k JOIN split USING (group_key) JOIN bills b ON b.sha256 = k.sha256""")(
+    lambda s, d: dataset.chat(dataset.split_rows(_copies(s, d)).drop("text"), view.bills(s, d).select("sha256", "text")).select(
         "sha256", "split", F.size("messages").alias("n_messages"), F.element_at(dataset.request(F.col("messages")), -1)["role"].alias("role"), F.element_at(dataset.request(F.col("messages")), -1)["content"].alias("request"),
-        F.get_json_object(dataset.expected(F.col("messages")), "$.vendor").alias("vendor")))
+        *(F.get_json_object(dataset.expected(F.col("messages")), f"$.{f}").alias(f) for f in ("vendor", "category", "is_invoice", "invoice_number"))))
 query("last_turn", "SELECT conv_id, count(*) AS n_turns, arg_max(text, turn) AS last_text FROM conversations GROUP BY conv_id")(
     lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.max_by("text", "turn").alias("last_text")))
 
@@ -264,11 +276,12 @@ query("last_turn", "SELECT conv_id, count(*) AS n_turns, arg_max(text, turn) AS
 
 
 def _judged(s: SparkSession, d: str) -> DataFrame:
-    rows = view.answers(view.bills(s, d))
+    """Both models' answers next to what is wanted, in one row of a bill, and then a row for each."""
     seconds = (F.col("key") % 7 + 1).cast("double")
-    tuned = rows.select(F.col("sha256").alias("doc_id"), F.lit("tuned").alias("model"), "output", seconds.alias("seconds"))
-    base = tuned.select("doc_id", F.lit("base").alias("model"), F.replace("output", F.lit('"INV/'), F.lit('"INV/9')).alias("output"), (F.col("seconds") * 2).alias("seconds"))
-    return evaluation.judge(tuned.unionByName(base), rows.select(F.col("sha256").alias("doc_id"), *SCORED))
+    answer = lambda model, output, took: F.struct(F.lit(model).alias("model"), output.alias("output"), took.alias("seconds"))
+    both = F.array(answer("tuned", F.col("output"), seconds), answer("base", F.replace("output", F.lit('"INV/'), F.lit('"INV/9')), seconds * 2))
+    rows = view.answers(view.bills(s, d)).select(F.col("sha256").alias("doc_id"), F.explode(both).alias("x"), *SCORED)
+    return evaluation.judge_joined(rows.select("doc_id", "x.*", *SCORED))
 
 
 _NORM = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
