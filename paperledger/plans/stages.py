@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperledger.functions.record import clean, parse_object
 from paperledger.functions.text import prepare
 from paperledger.operators import checks, scoring
-from paperledger.schema import FIELDS
 from paperledger.sources import extract, files, model
 
 
@@ -25,12 +25,12 @@ def classified(texts: DataFrame) -> DataFrame:
 
 
 def to_ledger(texts: DataFrame, backend: Callable[[], model.Backend] = model.RuleBackend) -> DataFrame:
-    """(file, fields, check) of extracted texts. Answers that lack an object or a field are asked for again, a
-    field at a time; only those rows go to the model twice."""
-    ok = texts.where("status = 'ok'").select("sha256", "file", "status", "text", prepare(F.col("text")).alias("prepared"))
-    first = checks.typed(model.answers(ok, backend).withColumn("output", F.coalesce("output", F.lit(""))).drop("error"))
-    again = model.guided_answers(first.where("guided").select(*ok.columns), backend).withColumn("output", F.coalesce("output", F.lit(""))).drop("error")
-    second = checks.typed(again).withColumn("guided", F.lit(True))
-    rows = first.where("NOT guided").unionByName(second).select("file", "status", "text", "guided", *FIELDS)
-    other = texts.where("status <> 'ok'").select("file", "status", "text", F.lit(False).alias("guided"), *(F.lit(None).cast(rows.schema[f].dataType).alias(f) for f in FIELDS))
-    return checks.ledger(rows.unionByName(other))
+    """(file, fields, check) of extracted texts. Each readable one goes to the model once; answers that lack an object
+    or a field are asked for again, a field at a time. There are no branches, so nothing is asked for twice."""
+    ok = F.coalesce(F.col("status") == "ok", F.lit(False))
+    rows = texts.select("file", "status", "text", F.when(ok, prepare(F.col("text"))).alias("prepared"))
+    first = model.answers(rows, backend).drop("error")
+    asked = first.withColumn("guided", F.col("prepared").isNotNull() & checks.incomplete(parse_object(F.col("output")), F.col("output")))
+    second = model.guided_answers(asked, backend).drop("error", "prepared")
+    parsed = second.withColumn("_object", parse_object(F.col("output")))
+    return checks.ledger(parsed.select("file", "status", "text", "guided", *clean(F.col("_object"))))

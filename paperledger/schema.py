@@ -29,8 +29,13 @@ BILL_THRESHOLD, REVIEW_THRESHOLD = 8, 4
 TEST_DOCS, VALID_DOCS, MAX_PER_VENDOR, SPLIT_SEED = 25, 15, 16, 42
 
 RECORD = struct(is_invoice=_B, customer=_S, vendor=_S, invoice_number=_S, invoice_date=_S, currency=_S, subtotal=MONEY, tax=MONEY, total=MONEY, gstin=_S, description=_S, category=_S)
+#: The answer schema that a teacher must keep to.
+ANSWER_SCHEMA = {
+    "type": "object", "additionalProperties": False, "required": FIELDS,
+    "properties": {f: {"type": "boolean"} if f == "is_invoice" else {"type": ["number" if f in AMOUNTS else "string", "null"]} | ({"enum": [*CATEGORIES, None]} if f == "category" else {}) for f in FIELDS},
+}
 FILE = struct(path=_S, modificationTime=TimestampType(), length=LongType(), content=BinaryType())
-EXTRACTION = struct(sha256=_S, file=_S, text=_S, page_count=_I, ocr_pages=_I, status=_S)
+EXTRACTION = struct(sha256=_S, file=_S, text=_S, page_count=_I, ocr_pages=_I, status=_S, error=_S)
 TEXT_CACHE = struct(sha256=_S, text=_S)
 CLASSIFICATION = struct(sha256=_S, file=_S, verdict=_S, score=_I, pages=_I, ocr_pages=_I, sensitive=_B, reasons=_S)
 LABEL = StructType([*RECORD.fields, StructField("_source_file", _S), StructField("_teacher", _S)])

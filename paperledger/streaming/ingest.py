@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from paperledger.schema import FILE
-from paperledger.sources.extract import Extraction, extract, plain_text
+from paperledger.schema import EXTRACTION, FILE
+from paperledger.sources.extract import Extraction, chosen_content, extract, plain_text
+from paperledger.sources.files import unique_files
+from paperledger.tables import exists
 
 
 def new_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,18 +29,10 @@ def ingest(spark: SparkSession, folder: str, cache: str, checkpoint: str, extrac
 
     def batch(files: DataFrame, number: int) -> None:
         session = files.sparkSession
-        hashed = files.select(F.sha2("content", 256).alias("sha256"), "path", "content")
-        first = hashed.groupBy("sha256").agg(F.min("path").alias("path"))
-        known = [f"{cache}/batch={k}" for k in range(number)]
-        present = [p for p in known if _there(session, p)]
-        if present:
-            first = first.join(session.read.parquet(*present).select("sha256").distinct(), "sha256", "left_anti")
-        chosen = hashed.join(first, ["sha256", "path"])
-        extract(chosen, extractor).write.mode("overwrite").parquet(f"{cache}/batch={number}")
+        first = unique_files(files)
+        if exists(session, cache):  # one read of the hashes of all batches but this one, which may run again
+            known = session.read.schema(f"{EXTRACTION.toDDL()}, batch bigint").parquet(cache).where(F.col("batch") != number)
+            first = first.join(known.select("sha256"), "sha256", "left_anti")
+        extract(chosen_content(first, files), extractor).write.mode("overwrite").parquet(f"{cache}/batch={number}")
 
     return new_files(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _there(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

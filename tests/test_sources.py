@@ -70,8 +70,8 @@ def test_inputs(spark, folder):
 
 
 def test_pages_and_failures_of_the_text_extractor():
-    assert extract.plain_text(b"a\fb\fc\fd\fe", "x") == ("--- page 1 ---\na\n--- page 2 ---\nb\n--- page 3 ---\nc\n--- page 4 ---\nd", 5, 0, "ok")
-    assert extract.plain_text(b"\xff", "x") == extract.UNREADABLE
+    assert extract.plain_text(b"a\fb\fc\fd\fe", "x") == ("--- page 1 ---\na\n--- page 2 ---\nb\n--- page 3 ---\nc\n--- page 4 ---\nd", 5, 0, "ok", None)
+    assert extract.plain_text(b"\xff", "x")[3] == "unreadable" and extract.plain_text(b"\xff", "x")[4].startswith("UnicodeDecodeError")
     assert extract.longer("ab", " c ") == "ab" and extract.longer("a", "bc") == "bc"
 
 
@@ -152,3 +152,202 @@ def test_incremental_ingestion(spark, folder):
     ingest(spark, str(folder / "in"), cache, state).awaitTermination()
     rows = spark.read.parquet(cache)
     assert rows.count() == rows.select("sha256").distinct().count() == len(first) + 1
+
+
+def test_each_document_goes_to_the_model_once(spark, tmp_path):
+    """Whole answers and rounds field by field leave a line each."""
+    log = str(tmp_path / "asked")
+
+    class Counting(forgetful()):
+        def stream(self, prompt, max_tokens):
+            if prompt.endswith("ANSWER: ") or prompt.endswith('{"is_invoice": '):
+                with open(log, "a") as out:
+                    out.write(("whole" if prompt.endswith("ANSWER: ") else "guided") + "\n")
+            yield from super().stream(prompt, max_tokens)
+
+    rows = [(f"{i}.pdf", "ok", ("RECEIPT" if i % 4 == 0 else "INVOICE") + f"\nShop\nGrand Total {i + 1}.00") for i in range(20)] + [("x.pdf", "encrypted", ""), ("y.pdf", None, None)]
+    texts = spark.createDataFrame(rows, "file string, status string, text string")
+    got = {r.file: r for r in stages.to_ledger(texts, Counting).collect()}
+    asked = (tmp_path / "asked").read_text().split()
+    assert (asked.count("whole"), asked.count("guided"), len(got)) == (20, 5, 22)
+    assert (got["4.pdf"].check, got["5.pdf"].check, got["x.pdf"].check, got["y.pdf"].check) == ("fields filled one at a time", "ok", "encrypted", None)
+
+
+class Image:
+    """Stands in for the imaging library."""
+
+    def __init__(self, width=100):
+        self.width, self.done = width, []
+
+    def convert(self, mode):
+        return self
+
+    def resize(self, size):
+        return Image(size[0])
+
+    @property
+    def height(self):
+        return 50
+
+
+def stand_ins(monkeypatch, pages=(), readings=None, password=False):
+    import sys
+    import types
+
+    readings, opened = readings or {}, []
+    ocr = types.ModuleType("pytesseract")
+    ocr.image_to_string = lambda image, config="": readings.get(config, "") if not isinstance(readings.get(config), Exception) else (_ for _ in ()).throw(readings[config])
+    pil, heif, pdfium = types.ModuleType("PIL"), types.ModuleType("pillow_heif"), types.ModuleType("pypdfium2")
+
+    def open_image(stream):
+        if stream.read() == b"heic" and not opened:
+            raise OSError("cannot identify image file")
+        return Image()
+
+    pil.Image = types.SimpleNamespace(open=open_image)
+    pil.ImageOps = types.SimpleNamespace(exif_transpose=lambda x: x, autocontrast=lambda x: x)
+    heif.register_heif_opener = lambda: opened.append(True)
+
+    class Page:
+        def __init__(self, text):
+            self.text = text
+
+        def get_textpage(self):
+            return types.SimpleNamespace(get_text_range=lambda: self.text)
+
+        def render(self, scale):
+            assert scale == 300 / 72
+            return types.SimpleNamespace(to_pil=Image)
+
+    class PdfiumError(Exception):
+        pass
+
+    def pdf(content):
+        if password or content == b"broken":
+            raise PdfiumError("Incorrect password" if password else "Data format error")
+        return [Page(p) for p in pages]
+
+    pdfium.PdfiumError, pdfium.PdfDocument = PdfiumError, pdf
+    for name, module in {"pytesseract": ocr, "PIL": pil, "pillow_heif": heif, "pypdfium2": pdfium}.items():
+        monkeypatch.setitem(sys.modules, name, module)
+
+
+def test_pdf_pages_are_read_or_recognised(monkeypatch):
+    whole = "x" * 60
+    stand_ins(monkeypatch, [whole, "short", whole, whole, whole], {"": "scan", "--psm 6": "a longer scan"})
+    assert extract.document(b"%PDF", "a.PDF") == (f"--- page 1 ---\n{whole}\n--- page 2 ---\na longer scan\n--- page 3 ---\n{whole}\n--- page 4 ---\n{whole}", 5, 1, "ok", None)
+    stand_ins(monkeypatch, ["short"], {"": "y" * 700, "--psm 6": "z" * 900})
+    assert extract.document(b"%PDF", "a.pdf")[0].endswith("y" * 700)
+    stand_ins(monkeypatch, ["short"], {"": RuntimeError("no engine")})
+    assert extract.document(b"%PDF", "a.pdf") == ("--- page 1 ---\n", 1, 0, "ok", None)
+    stand_ins(monkeypatch, password=True)
+    assert extract.document(b"%PDF", "a.pdf") == ("", 0, 0, "encrypted", None)
+    stand_ins(monkeypatch)
+    assert extract.document(b"broken", "a.pdf") == ("", 0, 0, "unreadable", "PdfiumError: Data format error")
+
+
+def test_photos_of_phones_are_read(monkeypatch):
+    import sys
+
+    stand_ins(monkeypatch, readings={"--psm 4": "a bill"})
+    for name in ("a.jpg", "a.heic", "a.HEIF"):
+        assert extract.document(b"heic", name) == ("--- page 1 ---\na bill", 1, 1, "ok", None)
+    stand_ins(monkeypatch)
+    monkeypatch.setitem(sys.modules, "pillow_heif", None)
+    assert extract.document(b"heic", "a.heic")[3:] == ("unreadable", "OSError: cannot identify image file")
+
+
+def test_failed_reads_say_why(spark, folder):
+    texts = stages.extracted(spark, str(folder / "in"))
+    row = extract.failed_reads(texts).first()
+    assert (row.status, row.n) == ("unreadable", 1) and row.error.startswith("UnicodeDecodeError")
+
+
+@pytest.fixture
+def server():
+    """A completion server that answers in pieces; its first answer is that it is busy."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def reply(self, status, body):
+            self.send_response(status)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def do_GET(self):
+            self.reply(200, b"{}")
+
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, self.client_address, body))
+            if len(seen) == 1:
+                return self.reply(503, b"busy")
+            if self.path == "/apply-template":
+                return self.reply(200, json.dumps({"prompt": body["messages"][-1]["content"]}).encode())
+            pieces = [b'data: {"content": "%s"}\n\n' % c for c in (b"a", b"b", b"c")] + [b'data: {"content": "", "stop": true}\n\n']
+            return self.reply(200, b"".join(pieces)) if body["prompt"] != "no" else self.reply(400, b"bad")
+
+        def log_message(self, *_):
+            pass
+
+    running = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=running.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{running.server_port}", seen
+    running.shutdown()
+
+
+def test_http_backend(server):
+    url, seen = server
+    backend = model.HttpBackend(url)
+    backend.PAUSE = 0
+    assert backend.healthy() and not model.HttpBackend("http://127.0.0.1:9").healthy()
+    assert backend.prompt([{"role": "user", "content": "hello"}]) == "hello"
+    assert model.generate(backend, "hello") == "abc" and model.generate(backend, "hello") == "abc"
+    first = next(iter(backend.stream("hello", 5)))  # a stream that is left alone
+    assert first == "a" and model.generate(backend, "again") == "abc"
+    with pytest.raises(ValueError, match="400 bad"):
+        model.generate(backend, "no")
+    assert seen[0][0] == seen[1][0] == "/apply-template" and seen[-1][2]["temperature"] == 0
+    assert len({address for _, address, _ in seen[1:4]}) == 1
+    assert model.backend("rules") is model.RuleBackend
+    with pytest.raises(ValueError):
+        model.backend("none")
+
+
+def test_teachers_keep_to_the_schema(spark):
+    class Loose(model.RuleBackend):
+        def answer(self, document):
+            return super().answer(document) | ({"category": "Groceries"} if "Cafe" in document else {})
+
+    rows = spark.createDataFrame([("1", "INVOICE\nAcme"), ("2", "INVOICE\nCafe")], "sha256 string, prepared string")
+    assert {(r.sha256, r.status, r.error) for r in model.teach(rows, Loose).collect()} == {("1", "labelled", None), ("2", "FAILED", "category is wrong")}
+    whole = dict.fromkeys(FIELDS) | {"is_invoice": True, "total": 5}
+    assert model.violations(whole) == [] and model.violations([]) == ["not an object"]
+    assert model.violations(whole | {"total": True, "more": 1}) == ["more is unknown", "total is wrong"]
+    assert model.violations({k: v for k, v in whole.items() if k != "tax"}) == ["tax is missing"]
+
+
+def test_tables_go_when_nothing_refers_to_them(spark):
+    import os
+
+    from paperledger.tables import Scratch, checkpoint_root, numbered, release
+
+    root = checkpoint_root(spark).removeprefix("file:")
+    left = lambda: sum(len(d) for p, d, _ in os.walk(root) if os.path.basename(p).startswith("tables-"))
+    release(spark)
+    before = left()
+    derived = Scratch(spark)(spark.range(10)).where("id > 3").select((F.col("id") * 2).alias("x"))
+    release(spark)
+    assert left() == before + 1 and derived.count() == 6
+    del derived
+    release(spark)
+    assert left() == before
+    places = [(r.id, r.place) for r in numbered(spark.range(50).orderBy(F.desc("id"))).collect()]
+    assert sorted(places, key=lambda x: x[1]) == [(49 - i, i + 1) for i in range(50)]
+    assert numbered(spark.range(0)).count() == 0
