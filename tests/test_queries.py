@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from paperledger.plans import catalog
+from paperledger.plans import catalog, storage  # noqa: F401 (adds its queries to the catalog)
 
 
 @pytest.fixture(scope="module")
