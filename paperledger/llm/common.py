@@ -1,4 +1,4 @@
-"""Helpers shared by the corpus operators: Arrow text buffers, vectorised word hashing, checkpoints.
+"""Helpers shared by the corpus operators: Arrow text buffers, vectorised word hashing, stored tables.
 
 The Python side of every operator works on whole Arrow batches. ``chunks`` cuts a batch into runs of
 rows of about ``CHUNK_BYTES`` so that memory is bounded by the longest single text, never by a group.
@@ -6,10 +6,6 @@ rows of about ``CHUNK_BYTES`` so that memory is bounded by the longest single te
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from paperledger.session import ship
+from paperledger.tables import Scratch, checkpoint_root, new_path, own
 
 #: Bytes of text that are held as numpy arrays at a time (one longer text still goes in whole).
 CHUNK_BYTES = 1 << 20
 
+__all__ = ["Scratch", "checkpoint_root", "new_path", "own"]
 _U = np.uint64
 _MULT, _STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 
@@ -165,47 +163,6 @@ def lists(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.ListAr
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, kind))
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session. Only a local session without one gets its own."""
-    context = spark.sparkContext
-    set_already = context._jsc.sc().getCheckpointDir()
-    if set_already.isDefined():
-        return set_already.get()
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="checkpoint-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-    context.setCheckpointDir(root)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-class Scratch:
-    """Tables in the shared checkpoint folder that cut the lineage of what is computed from them.
-
-    They are Parquet files: any executor can read them again, and their real sizes take the place of the
-    planner's estimates, which grow with the product of the inputs at every join of an iteration.
-    """
-
-    def __init__(self, spark: SparkSession) -> None:
-        ship(spark)
-        self.spark, self.root, self.paths = spark, checkpoint_root(spark), {}
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/scratch-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = (path, out)
-        return out
-
-    def drop(self, *keep: DataFrame) -> None:
-        """Deletes all tables but those to keep."""
-        for key in [k for k in self.paths if k not in {id(x) for x in keep}]:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(key)[0])
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

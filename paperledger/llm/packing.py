@@ -12,7 +12,7 @@ of the tokenizer of ``token_output``, the end of the text included.
 
 Defined cases: null and empty texts have length 0 in words; rows with one doc_id stand by length; a null doc_id stands
 first; an empty table gives no rows; with fewer lengths than buckets each length is a bucket of its own;
-other columns are ignored. A document over the budget is a batch by itself.
+other columns are ignored. A document over the budget is a batch by itself; texts of any length count whole.
 """
 
 from __future__ import annotations
@@ -84,15 +84,16 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, length:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
-    sized = scratch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (words if length is None else F.col(length).cast("long")).alias("n_tokens")))
+    sized = scratch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (words if length is None else F.col(length).cast("long")).alias("n_tokens"), F.spark_partition_id().alias("origin")))
     # A row for each length at most, however many documents.
     histogram = sized.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").toArrow()
     ends = bounds(histogram.column("n_tokens").to_numpy(), histogram.column("n").to_numpy(), buckets) or [0]
     number, upper = F.lit(len(ends) - 1), F.lit(ends[-1])
     for k in range(len(ends) - 2, -1, -1):
         number, upper = F.when(F.col("n_tokens") <= ends[k], k).otherwise(number), F.when(F.col("n_tokens") <= ends[k], ends[k]).otherwise(upper)
-    dealt = sized.select("doc_id", "n_tokens", number.cast("int").alias("bucket"), upper.cast("long").alias("bucket_length"))
-    sorted_parts = dealt.repartitionByRange(shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id", "n_tokens")
+    dealt = sized.select("doc_id", "n_tokens", "origin", number.cast("int").alias("bucket"), upper.cast("long").alias("bucket_length"))
+    # Rows of one id, which may be very many, are told apart by length and by the part that they come from.
+    sorted_parts = dealt.repartitionByRange(shuffle_width(spark), "doc_id", "n_tokens", "origin").sortWithinPartitions("doc_id", "n_tokens", "origin")
     ranked = scratch(sorted_parts.select("doc_id", "n_tokens", "bucket", "bucket_length").mapInArrow(lambda batches: rank_batches(batches, len(ends)), RANKED))
     scratch.drop(ranked)
     # A row for each part and bucket.

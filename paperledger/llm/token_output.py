@@ -6,13 +6,13 @@ stripe can be read on its own. Each row carries its offset among the ids of its
 offsets need only one total per part, never a global window.
 
 Defined cases: a null text counts as empty and has the end id only; a null ``doc_id`` sorts first;
-repeated rows are written each, ordered by text; an empty table gives no rows; other columns are ignored.
+rows of one id are written each, ordered by a hash
+of their text, in as many files as they fill; texts of any length are encoded whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from paperledger.session import ship
 
-from .common import checkpoint_root, chunks, lists, shuffle_width, table
+from .common import chunks, lists, new_path, own, shuffle_width, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -110,7 +110,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id:
     """Writes (part, doc_id, part_start, n_tokens, ids) in ascending id order to ORC files in ``path``."""
     ship(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranged = slim.repartitionByRange(parts or shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one id are told apart by a hash of their text, and equal rows by the part that they come from, so that
+    # those of an id that very many rows have, or of none, are dealt to several parts.
+    salted = slim.select("*", F.xxhash64("text").alias("hash"), F.spark_partition_id().alias("origin"))
+    ranged = salted.repartitionByRange(parts or shuffle_width(docs.sparkSession), "doc_id", "hash", "origin").sortWithinPartitions("doc_id", "hash", "origin").drop("hash", "origin")
     (
         ranged.mapInArrow(lambda batches: encode_batches(batches, tokenizer, end_id), TOKENS)
         .write.option("compression", "zstd")
@@ -155,6 +158,6 @@ def with_checksums(tokens: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{checkpoint_root(spark)}/tokens-{uuid.uuid4().hex}"
+    path = new_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path)
-    return with_checksums(read_tokens(spark, path))
+    return with_checksums(own(read_tokens(spark, path), path))
