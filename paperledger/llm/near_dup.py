@@ -5,21 +5,24 @@ that find candidates. Documents that share a key get a signature of ``PERMS`` mi
 low bits are kept, packed in longs; the share of equal low bits, by bit counts and corrected for chance
 collisions, screens pairs before their full sets are compared.
 
-Documents with equal sets form a class (two 64-bit sums over the set and its size) that is never expanded.
-Each class is first compared with the least class of its buckets, one pair a class; after that, in a few
-rounds, each class outside a bucket's largest component with the likeliest of some members of it. What then
-still shares a bucket and lies in different components is compared by signature inside the join, each class
-outside the largest component with the bucket; only pairs that pass are made, each once. So no candidate link
-that could join two components is left untried, and buckets that are one component cost nothing.
+Documents with equal sets form a class (two 64-bit sums over the set and its size) that is never expanded; a hash
+of these names it, and ids of documents only name components in the end. Each class is first compared with the
+least class of its buckets, one pair a class; after that, in a few rounds, each class outside a bucket's largest
+component with the likeliest of some members of it. What then still shares a bucket and lies in different
+components is compared by signature: inside the join where the bucket has few such pairs, each class outside the
+largest component with the bucket. Of fuller buckets only pairs are made that share a shingle among the rarest of
+both: a set of n shingles has n - ceil(t n) + 1 of these by an order that all sets share, and two sets of a
+similarity of t must meet there, so no link is lost and texts that share no more than a common frame never meet.
+Only pairs that pass are made, each once. Buckets that are one component cost nothing.
 
 Full sets are compared in streams: the text of a hub comes first, the others follow, dealt over as many parts
 as there are shuffle partitions; neither a group nor its pairs are ever held. Only the texts of candidates
 are moved, once out of the corpus and then by pair.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; texts of fewer words
-than a shingle have the whole sequence as their one shingle; rows with one doc_id count as one document;
-a null doc_id links with nothing and gets a null component; empty tables give no rows; other columns are
-ignored.
+than a shingle have the whole sequence as their one shingle; texts of any length count whole; rows of one doc_id
+are each judged by their own text, and get the least doc_id that their text is linked with; a null doc_id links
+with nothing and gets a null component; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,10 +45,14 @@ SLACK = 4.5
 #: Rounds in which each class outside the largest component of a bucket is compared with the likeliest of a
 #: few members of that component, and their number in each bucket.
 ROUNDS, REPRESENTATIVES = 3, 6
+#: Pairs outside the largest component up to which a bucket is compared inside the join.
+FEW_PAIRS = 4096
+#: Slots in which shingles are counted for the order of the rare ones. Shingles may share one: it is an order in any case.
+SLOTS = 1 << 20
 PER_LONG = 64 // BITS
 _U = np.uint64
 _FACTORS, _SHIFTS = series(PERMS, 11) | _U(1), series(PERMS, 12)
-SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
+SIGNED = "doc_id long, version long, n_shingles long, s1 long, s2 long, bands array<long>"
 LONGS = PERMS // PER_LONG
 #: The packed longs are columns of their own: the join condition over them stays small enough to be compiled.
 PACKED, HUB_PACKED = [f"p{i}" for i in range(LONGS)], [f"h{i}" for i in range(LONGS)]
@@ -117,7 +124,8 @@ def sign_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa
                 sums[k, some] = np.add.reduceat(mix(values ^ series(1, 21 + k)), begins[:-1]) if len(some) else 0
             keys = band_keys(minima(values, begins, BANDS * ROWS))
             s1, s2 = (pa.array(x.view(np.int64)) for x in sums)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(starts), pa.int64()), s1, s2, some_rows(keys, some, len(text))], ["doc_id", "n_shingles", "s1", "s2", "bands"])
+            columns = [part.column(0), part.column(2), pa.array(np.diff(starts), pa.int64()), s1, s2, some_rows(keys, some, len(text))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "n_shingles", "s1", "s2", "bands"])
 
 
 def sketch_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -185,35 +193,82 @@ def confirm(pairs: DataFrame, sketched: DataFrame, shingle: int, percent: int) -
     return rows.repartition(width, "hub", "salt").sortWithinPartitions("hub", "salt", "role", "node").mapInArrow(lambda batches: compare_batches(batches, shingle, percent), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def slot_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """How many sets of a task have a shingle in each slot."""
+    total = np.zeros(SLOTS, dtype=np.int64)
+    for batch in batches:
+        for _, text in chunks(batch):
+            values, _ = sets(Words(text), shingle)
+            total += np.bincount((mix(values) & _U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+
+def rare_batches(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, sent) -> Iterator[pa.RecordBatch]:
+    """The rarest shingles of each set, as many as a similar set must share one of; those of no other set are left out."""
+    counts = sent.value
+    for batch in batches:
+        for part, text in chunks(batch):
+            values, starts = sets(Words(text), shingle)
+            often = counts[(mix(values) & _U(SLOTS - 1)).astype(np.int64)]
+            size = np.diff(starts)
+            row = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((values, often, row))
+            nth = np.arange(len(values)) - np.repeat(starts[:-1], size)
+            most = size - (size * percent + 99) // 100 + 1
+            some = order[(nth < np.repeat(most, size)) & (often[order] > 1)]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[some])), pa.array(values[some].view(np.int64))], ["node", "shingle"])
+
+
+def rare_pairs(nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, hub), node > hub: the pairs of different labels that share a rare shingle. nodes: node, text, label."""
+    spark = nodes.sparkSession
+    slots = nodes.select("node", "text").mapInArrow(lambda batches: slot_batches(batches, shingle), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    counts[slots.column("slot").to_numpy()] = slots.column("n").to_numpy()
+    sent = spark.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
+    rare = nodes.select("node", "text").mapInArrow(lambda batches: rare_batches(batches, shingle, percent, sent), "node long, shingle long")
+    rare = rare.join(nodes.select("node", "label"), "node")
+    hubs = rare.select("shingle", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+    return rare.join(hubs, "shingle").where("node > hub AND label <> hub_label").select("node", "hub").distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", screen: bool = True, few_pairs: int = FEW_PAIRS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): documents whose sets have ``100 * shared >= percent * union``
-    are linked; a component is named by its least doc_id, which is the one kept."""
+    are linked; a component is named by its least doc_id, which is the one kept.
+
+    screen: whether pairs whose signatures differ too much are left out, which loses a link at the threshold with the
+    probability of a normal deviate below ``-SLACK``; without it all candidates are compared in full.
+    """
     scratch = Scratch(docs.sparkSession)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("version"))
     signed = scratch(slim.mapInArrow(lambda batches: sign_batches(batches, shingle), SIGNED))
     some = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = scratch(some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    nodes = some.join(classes.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "bands")
-    nodes = scratch(nodes)
+    first = F.min(F.struct("doc_id", "version")).alias("rep")
+    classes = some.groupBy("s1", "s2", "n_shingles").agg(first, F.count("*").alias("copies"))
+    classes = scratch(classes.select(F.xxhash64("s1", "s2", "n_shingles").alias("node"), "s1", "s2", "n_shingles", F.col("rep.doc_id").alias("rep"), F.col("rep.version").alias("rep_version"), "copies"))
+    named = classes.select("node", F.col("rep").alias("doc_id"), F.col("rep_version").alias("version"))
+    nodes = scratch(some.select("doc_id", "version", "bands").join(named, ["doc_id", "version"]).dropDuplicates(["node"]).select("node", "bands"))
     slots = scratch(nodes.select(F.explode("bands").alias("key"), "node"))
     shared = scratch(slots.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least"))
     members = scratch(slots.join(shared, "key"))
     # The texts of candidates leave the corpus once. The join is a merge at every size: ids of candidates have no bound.
-    candidates = members.select(F.col("node").alias("doc_id")).distinct().hint("merge")
-    texts = slim.join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "text")
+    candidates = named.join(members.select("node").distinct(), "node", "left_semi").hint("merge")
+    texts = slim.join(candidates, ["doc_id", "version"]).dropDuplicates(["node"]).select("node", "text")
     sketched = scratch(texts.mapInArrow(lambda batches: sketch_batches(batches, shingle), SKETCHED))
     floor = least_estimate(percent)
     mine = sketched.select("node", "size", *PACKED)
     hub_packed = [F.col(a).alias(b) for a, b in zip(PACKED, HUB_PACKED, strict=True)]
     theirs = sketched.select(F.col("node").alias("hub"), F.col("size").alias("hub_size"), *hub_packed)
-    close = (F.least("size", "hub_size") * 100 >= F.greatest("size", "hub_size") * percent) & (estimate() >= floor)
+    close = F.least("size", "hub_size") * 100 >= F.greatest("size", "hub_size") * percent
+    close = close & (estimate() >= floor) if screen else close
 
     def mixed(found: DataFrame) -> DataFrame:
         """Members of buckets that hold several components: their component and the bucket's largest one."""
         marked = scratch(members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")))
         by_label = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
-        largest = by_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels"))
-        return scratch(marked.join(scratch(largest.where("labels > 1").select("key", "most")), "key"))
+        largest = by_label.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max("n").alias("n_most"), F.sum("n").alias("n"), F.count("*").alias("labels"))
+        return scratch(marked.join(scratch(largest.where("labels > 1").select("key", "most", "n", (F.col("n") - F.col("n_most")).alias("n_out"))), "key"))
 
     firsts = members.groupBy("node").agg(F.min("least").alias("hub")).where("hub < node")
     firsts = scratch(firsts.join(mine, "node").join(theirs, "hub").where(close).select("hub", "node"))
@@ -232,18 +287,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         left = mixed(found)
     # What is still apart is compared inside the join; a pair counts in the first of the buckets that it shares.
     bands = nodes.select("node", "bands")
-    mine = mine.join(bands, "node")
-    outside = scratch(left.where("label <> most").join(mine, "node").select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("size").alias("hub_size"), *hub_packed, F.col("bands").alias("hub_bands")))
+    fuller = F.col("n_out") * F.col("n") > few_pairs
+    with_bands = mine.join(bands, "node")
+    outside = scratch(left.where(~fuller & (F.col("label") != F.col("most"))).join(with_bands, "node").select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("size").alias("hub_size"), *hub_packed, F.col("bands").alias("hub_bands")))
     if not outside.isEmpty():
-        inside = scratch(left.select("key", "node", "label", "most").join(mine, "node"))
+        inside = scratch(left.where(~fuller).select("key", "node", "label", "most").join(with_bands, "node"))
         # Two classes outside the largest component meet twice; the greater one is taken as the member then.
         once = (F.col("label") != F.col("hub_label")) & ((F.col("label") == F.col("most")) | (F.col("node") > F.col("hub")))
         passed = outside.join(inside, "key").where(once & close & (F.array_min(F.array_intersect("bands", "hub_bands")) == F.col("key")))
         more = scratch(confirm(passed.select("hub", "node"), sketched, shingle, percent))
         if not more.isEmpty():
             found = joined(found, more, scratch)
-    verdict = classes.join(found, F.col("rep") == F.col("node"), "left").where("copies > 1 OR component IS NOT NULL")
-    verdict = scratch(verdict.select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component")))
+    # Pairs of fuller buckets, the first bucket of some pairs left out above among them, must share a rare shingle.
+    crowd = scratch(left.where(fuller).select("node", "label").distinct())
+    if not crowd.isEmpty():
+        pairs = rare_pairs(scratch(crowd.join(sketched.select("node", "text"), "node")), shingle, percent)
+        more = scratch(confirm(pairs.join(mine, "node").join(theirs, "hub").where(close).select("hub", "node"), sketched, shingle, percent))
+        if not more.isEmpty():
+            found = joined(found, more, scratch)
+    grouped = scratch(classes.join(found, "node", "left"))
+    least = scratch(grouped.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least")))
+    verdict = grouped.join(least, "component", "left").where("copies > 1 OR component IS NOT NULL")
+    verdict = scratch(verdict.select("s1", "s2", "n_shingles", F.coalesce("least", "rep").alias("component")))
     scratch.drop(signed, verdict)
     out = signed.select("doc_id", "n_shingles", "s1", "s2").join(verdict, ["s1", "s2", "n_shingles"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

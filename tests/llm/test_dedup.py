@@ -73,8 +73,8 @@ def edited(rng, words, n):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("shingle, percent", [(3, 85), (5, 80)])
-def test_near_duplicates_are_all_found(spark, shingle, percent):
+@pytest.mark.parametrize("shingle, percent, few", [(3, 85, 4096), (5, 80, 4096), (3, 85, 0)])
+def test_near_duplicates_are_all_found(spark, shingle, percent, few):
     rng = random.Random(shingle)
     texts = [None, "", "one", "one", "One two", "a b c"]
     for family in range(12):
@@ -86,10 +86,33 @@ def test_near_duplicates_are_all_found(spark, shingle, percent):
     order = list(range(len(texts)))
     rng.shuffle(order)
     texts = [texts[i] for i in order]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(frame(spark, texts), shingle, percent).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(frame(spark, texts), shingle, percent, few_pairs=few).collect()}
     assert [got[i] for i in range(len(texts))] == near_brute(texts, shingle, percent)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_rows_that_share_an_id(spark, seed):
+    """Each row is judged by its own text; ids name components only, in any order of the rows."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, c), (4, c), (1, "other"), (5, None), (6, c + " z")]
+    random.Random(seed).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(df).collect())
+    assert got == sorted([(1, 56, 1, True), (1, 56, 1, True), (2, 57, 1, False), (3, 57, 1, False), (4, 56, 4, True), (4, 56, 4, True), (1, 1, 1, True), (5, 0, 5, True), (6, 57, 4, False)])
+
+
+def test_texts_of_one_frame_are_not_all_compared(spark):
+    """Of 4,000 texts of similarity 0.7 or so to each other, in one bucket, some pairs are near copies."""
+    rng = random.Random(3)
+    shared = [f"frame{i}" for i in range(165)]
+    texts = [" ".join(shared + [f"own{rng.randrange(10**9)}" for _ in range(35)]) for _ in range(3996)]
+    texts += [edited(rng, texts[i].split(), 4) for i in range(4)]
+    rows = [(i, t, i) for i, t in enumerate(texts)]
+    nodes = spark.createDataFrame(rows, "node long, text string, label long").repartition(8)
+    pairs = {(r.node, r.hub) for r in near_dup.rare_pairs(nodes, 1, 85).collect()}
+    assert {(3996 + i, i) for i in range(4)} <= pairs and len(pairs) < 4000
+
+
 def test_estimate_is_close_to_the_similarity(spark):
     rng = random.Random(2)
     base = [f"w{i}" for i in range(500)]
