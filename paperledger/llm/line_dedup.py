@@ -1,22 +1,29 @@
-"""Removal of passages that repeat lines of an earlier document, by pairwise alignment.
+"""Removal of passages that repeat an earlier document, by pairwise alignment.
 
-From every line on, the fewest lines that hold ``LEAST_WORDS`` words are hashed together, forward and
-backward. Such a hash is rare: documents that share one share a passage. Each hash pairs a document with the
-earliest one that has it, so a passage of very many documents makes one pair for each, not all pairs.
+Pairs come from shared rare lines: a line that at most ``RARE`` documents have pairs each of them with the earliest.
+Passages whose lines are all common, or that begin and end inside lines, are known by winnowed hashes of ``GRAM``
+words, of which every run of ``LEAST_WORDS`` words has one; such a hash pairs its documents with the earliest one, too.
+So a line or passage of very many documents makes one pair for each of them, not all pairs.
 
-A pair is aligned by patience diff over line hashes: lines that are unique on both sides and in order are
-anchors, grown to blocks of equal lines. What is left over is aligned again, so passages in another order are
-found too; blocks without any unique line are aligned by the hashes that made the pair. Aligned blocks of
-``LEAST_WORDS`` words or more are deleted from the later document (the one of the greater id). In effect a
-line goes exactly if it lies in a run of lines of that many words which also runs in an earlier document: the
-shared hashes decide that, and alignment adds no line to it. Runs that a changed line parts aren't joined.
+A pair is aligned by patience diff: lines that are unique on both sides and in order are anchors, grown to blocks of
+equal lines; what lies between blocks is aligned in the same way by words, so that blocks grow into neighbouring
+lines. Where nothing is unique, first occurrences are paired with first ones, second with second, and so on. What is
+deleted from the later document (the one of the greater id) is decided by the alignment alone:
 
-Pairs are aligned on line hashes alone; texts move only when the deletions are applied.
+- blocks of ``LEAST_WORDS`` equal words in a row or more, wherever they begin and end;
+- whole lines of regions that hold so many words, where a region may have ``GAP`` changed lines in a row in it.
 
-Defined cases: null texts stay null; lines are split at line feeds and compared whole; blank lines have no
-words but count as lines of a run; rows with one doc_id and one text count as one document and are treated
-alike, rows with one doc_id are never compared with each other; a null doc_id is left alone; empty tables
-give no rows. ``deduplicate`` keeps all columns of its input.
+The rest is aligned again while anything is found, so repeated passages and those in another order go, too. Of runs
+of the same few words over and over alignment may leave some, and where the earliest document has less of a passage than
+others that are earlier, too, the passage's first or last words may stay.
+
+Texts of documents in pairs move once for each pair; the pairs of one earlier document are dealt over all parts.
+
+Defined cases: null texts stay null; words are runs of bytes that aren't blank and count as they are spelled; lines
+end at line feeds and are equal if their words are; a line of which all words go takes its line feed along; rows with
+one doc_id and one text count as one document and are treated alike, rows with one doc_id are never compared with each
+other; a null doc_id is left alone; very long texts are aligned whole; empty tables give no rows. ``deduplicate`` keeps
+all columns of its input.
 """
 
 from __future__ import annotations
@@ -29,31 +36,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, NOT_SPACE, POWERS, Scratch, Text, Words, chunks, lists, mix, shuffle_width, table
+from .common import NOT_SPACE, POWERS, Scratch, Text, Words, chunks, mix, shuffle_width, table
+from .decontaminate import sendable, winnow
 
-LEAST_WORDS = 50
+LEAST_WORDS, GRAM = 50, 32
+#: Documents that may have a line that counts as rare, and changed lines in a row inside a region.
+RARE, GAP = 64, 1
+#: Bytes of a table that are sent to all executors at most; greater ones are joined by a shuffle.
+SENT_BYTES = 32 << 20
+KEYED = "doc_id long, version long, key long, line boolean"
 _U = np.uint64
 _KEEP_CASE = np.arange(256, dtype=np.uint8)
-LINED = "doc_id long, version long, lines array<long>, words array<int>, keys array<long>"
-
-
-def line_hashes(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hash of each line, its number of words, and the first line of each row. A row has at least one line."""
-    data = text.data
-    # Each row opens a line and so does each line feed; both kinds of starts are put in the order of their rows.
-    feeds = np.flatnonzero(data == 10) + 1
-    starts = np.concatenate((text.first[:-1], feeds))
-    # A feed that ends a row opens an empty line of that row, before the first line of the next.
-    row = np.concatenate((np.arange(len(text)), np.searchsorted(text.first, feeds - 1, side="right") - 1))
-    order = np.lexsort((starts, row))
-    starts, row = starts[order], row[order]
-    ends = np.append(starts[1:], len(data))
-    last = np.append(row[1:] != row[:-1], True)
-    ends = np.where(last, text.first[row + 1], ends - 1)
-    hashes = spans(BYTE_VALUE[data], starts, ends)
-    words = Words(text, NOT_SPACE, _KEEP_CASE, hashed=False)
-    count = np.searchsorted(words.begin, ends) - np.searchsorted(words.begin, starts)
-    return hashes, count.astype(np.int32), np.searchsorted(row, np.arange(len(text) + 1))
+
+
+class Lines:
+    """The words of some texts and the lines that have any: first words, one after another, and the first line of each row."""
+
+    def __init__(self, text: Text) -> None:
+        self.words = Words(text, NOT_SPACE, _KEEP_CASE)
+        feeds = np.flatnonzero(text.data == 10)
+        starts = np.unique(np.concatenate((self.words.first[:-1], np.searchsorted(self.words.begin, feeds))))
+        self.start = starts[starts < len(self.words.begin)]
+        self.end = np.append(self.start[1:], len(self.words.begin))[: len(self.start)]
+        self.first = np.searchsorted(self.start, self.words.first)
+        self.hash = spans(self.words.hash, self.start, self.end) if len(self.start) else np.empty(0, dtype=_U)
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word hashes of a row, its lines' first words, and their hashes."""
+        a, b, c, d = self.words.first[i], self.words.first[i + 1], self.first[i], self.first[i + 1]
+        return self.words.hash[a:b], self.start[c:d] - a, self.hash[c:d]
 
 
 def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -64,37 +75,31 @@ def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mix((total[ends] - total[starts]) * down[starts])
 
 
-def block_ends(words: np.ndarray, least: int) -> np.ndarray:
-    """For each line the end of the fewest lines from it on with that many words; -1 where there aren't so many."""
-    total = np.concatenate(([0], np.cumsum(words)))
-    end = np.searchsorted(total, total[:-1] + least, side="left")
-    return np.where(end <= len(words), end, -1)
-
+def once_a_row(row: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places of the distinct pairs."""
+    order = np.lexsort((key, row))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (row[order][1:] != row[order][:-1]) | (key[order][1:] != key[order][:-1])
+    return order[new]
 
-def block_keys(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all minimal blocks, forward and backward, with their begins and ends."""
-    n = len(hashes)
-    forward = block_ends(words, least)
-    back = block_ends(words[::-1], least)
-    begin = np.concatenate((np.flatnonzero(forward >= 0), n - back[::-1][back[::-1] >= 0]))
-    end = np.concatenate((forward[forward >= 0], np.flatnonzero(back[::-1] >= 0) + 1))
-    return mix(spans(mix(hashes), begin, end) + (end - begin).astype(_U)), begin, end
 
-
-def line_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def key_batches(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Hashes of lines, and of some runs of words, once for each text that has them."""
     for batch in batches:
         for part, text in chunks(batch):
-            hashes, words, first = line_hashes(text)
-            keys = [np.unique(block_keys(hashes[a:b], words[a:b], least)[0]) for a, b in zip(first[:-1], first[1:], strict=True)]
-            has = np.concatenate(([0], np.cumsum([len(x) for x in keys])))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(2), lists(hashes.view(np.int64), first, pa.int64()), lists(words, first, pa.int32()), lists(np.concatenate(keys).view(np.int64), has, pa.int64())],
-                ["doc_id", "version", "lines", "words", "keys"],
-            )
+            lines = Lines(text)
+            value, at = winnow(lines.words, gram, least)
+            row = np.concatenate((np.repeat(np.arange(len(text)), np.diff(lines.first)), np.searchsorted(lines.words.first, at, side="right") - 1))
+            key = np.concatenate((mix(lines.hash + _U(1)), mix(value + _U(2))))
+            some = once_a_row(row, key)
+            yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(row[some])) for k in (0, 2)), pa.array(key[some].view(np.int64)), pa.array(some < len(lines.hash))], ["doc_id", "version", "key", "line"])
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Pairs of places of equal lines, ascending on both sides: unique lines are anchors, grown and refined."""
+    """Pairs of places of equal elements, ascending on both sides: unique ones are anchors, grown and refined.
+
+    Between anchors where nothing is unique on both sides the n-th occurrences of an element are taken for the same.
+    """
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -107,14 +112,17 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             out.append((a1, b1))
         if a0 == a1 or b0 == b1:
             continue
-        once = _unique(a, a0, a1)
-        pairs = sorted((once[x], j) for x, j in _unique(b, b0, b1).items() if x in once)
-        anchors = _ascending(pairs)
-        if not anchors:
+        for keyed in (_unique, _numbered):
+            once = keyed(a, a0, a1)
+            pairs = sorted((once[x], j) for x, j in keyed(b, b0, b1).items() if x in once)
+            if pairs:
+                break
+        else:
             continue
+        anchors = _ascending(pairs)
         ends = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
         out += anchors
-        todo += [(p + 1, r, q + 1, s) for (p, q), (r, s) in zip(ends[:-1], ends[1:], strict=True)]
+        todo += [(p + 1, r, q + 1, s) for (p, q), (r, s) in zip(ends[:-1], ends[1:], strict=True) if p + 1 < r and q + 1 < s]
     return sorted(out)
 
 
@@ -125,6 +133,17 @@ def _unique(x: list[int], start: int, stop: int) -> dict[int, int]:
     return {k: i for k, i in seen.items() if i >= 0}
 
 
+def _numbered(x: list[int], start: int, stop: int) -> dict[tuple[int, int], int]:
+    """Places by element and number of its occurrence."""
+    seen: dict[int, int] = {}
+    out: dict[tuple[int, int], int] = {}
+    for i in range(start, stop):
+        nth = seen.get(x[i], 0)
+        out[x[i], nth] = i
+        seen[x[i]] = nth + 1
+    return out
+
+
 def _ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """A longest subsequence whose second places ascend, by patience sorting."""
     tops: list[int] = []
@@ -145,119 +164,180 @@ def _ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def common_blocks(earlier: np.ndarray, later: np.ndarray, words: np.ndarray, least: int, earlier_keys: set[int]) -> np.ndarray:
-    """Which lines of the later document lie in aligned blocks of at least that many words."""
-    gone = np.zeros(len(later), dtype=bool)
-    a, left = earlier.tolist(), np.arange(len(later))
-    while len(left):
-        pairs = patience(a, later[left].tolist())
-        found = False
-        start = 0
-        for k in range(1, len(pairs) + 1):
-            i, j = pairs[k - 1]
-            if k < len(pairs) and pairs[k][0] == i + 1 and pairs[k][1] == j + 1 and left[pairs[k][1]] == left[j] + 1:
-                continue
-            block = left[pairs[start][1] : j + 1]
-            if words[block].sum() >= least:
-                gone[block] = found = True
-            start = k
-        if not found:
-            break
+def matched(a: np.ndarray, a_line: np.ndarray, a_hash: np.ndarray, b: np.ndarray, b_line: np.ndarray, b_hash: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """For each word of b the place of its partner in a, or -1, and the pairs of lines. Lines: first words, and hashes."""
+    partner = np.full(len(b), -1)
+    pairs = patience(a_hash.tolist(), b_hash.tolist())
+    a_end, b_end = np.append(a_line[1:], len(a)), np.append(b_line[1:], len(b))
+    x = y = 0
+    words_a, words_b = a.tolist(), b.tolist()
+    for i, j in [*pairs, (-1, -1)]:
+        x1, y1 = (a_line[i], b_line[j]) if i >= 0 else (len(a), len(b))
+        if x < x1 and y < y1:
+            for p, q in patience(words_a[x:x1], words_b[y:y1]):
+                partner[y + q] = x + p
+        if i >= 0:
+            partner[y1 : b_end[j]] = np.arange(x1, a_end[i])
+            x, y = a_end[i], b_end[j]
+    return partner, pairs
+
+
+def regions(pairs: list[tuple[int, int]], size: np.ndarray, least: int) -> list[int]:
+    """Lines of b that stand in regions of enough words, with ``GAP`` other lines in a row at most on either side."""
+    out, start = [], 0
+    for k in range(1, len(pairs) + 1):
+        if k < len(pairs) and max(pairs[k][0] - pairs[k - 1][0], pairs[k][1] - pairs[k - 1][1]) <= GAP + 1:
+            continue
+        lines = [j for _, j in pairs[start:k]]
+        if size[lines].sum() >= least:
+            out += lines
+        start = k
+    return out
+
+
+def repeated_words(earlier: tuple[np.ndarray, np.ndarray, np.ndarray], later: tuple[np.ndarray, np.ndarray, np.ndarray], least: int) -> np.ndarray:
+    """Which words of the later document lie in aligned blocks or regions. Documents: words, first words and hashes of lines."""
+    (a, a_line, a_hash), (b, b_line, b_hash) = earlier, later
+    gone, line_of = np.zeros(len(b), dtype=bool), np.repeat(np.arange(len(b_line)), np.diff(np.append(b_line, len(b))))
+    copies = 1
+    while True:
         left = np.flatnonzero(~gone)
-    # Passages that alignment can't tell apart or that overlap others are known by their hashes.
-    keys, begin, end = block_keys(later, words, least)
-    for k in np.flatnonzero(np.isin(keys, np.fromiter(earlier_keys, dtype=_U, count=len(earlier_keys)))):
-        gone[begin[k] : end[k]] = True
+        if len(left) < least:
+            break
+        # Lines of which some words are gone aren't lines any more; the rest of such a line goes with the line before.
+        whole = ~np.bincount(line_of, gone, len(b_line)).astype(bool)
+        start = np.searchsorted(left, b_line[whole])
+        if len(start) and start[0] or not len(start):
+            start, hashes = np.append(0, start), np.append(_U(0), b_hash[whole])
+        else:
+            hashes = b_hash[whole].copy()
+        size = np.diff(np.append(start, len(left)))
+        hashes[size != np.diff(np.append(b_line, len(b)))[np.searchsorted(b_line, left[start], side="right") - 1]] = 0
+        tiled = np.tile(a, copies), (a_line + len(a) * np.arange(copies)[:, None]).ravel(), np.tile(a_hash, copies)
+        partner, pairs = matched(*tiled, b[left], start, hashes)
+        run = np.ones(len(left), dtype=bool)  # whether a word opens a block
+        run[1:] = (partner[1:] != partner[:-1] + 1) | (left[1:] != left[:-1] + 1) | (partner[1:] % max(len(a), 1) == 0)
+        block = np.cumsum(run) - 1
+        long_enough = (np.bincount(block) >= least)[block] & (partner >= 0)
+        for j in regions([p for p in pairs if hashes[p[1]]], size, least):
+            long_enough[start[j] : start[j] + size[j]] = True
+        if not long_enough.any():
+            break
+        gone[left[long_enough]] = True
+        copies = 1 + int((~gone).sum()) // max(len(a), 1)
     return gone
 
 
 def align_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows (hub, hub_version, salt, role, doc_id, version, lines, words, keys) in order; role 0 is the earlier document."""
-    hub, lines, keys = None, np.empty(0, dtype=_U), set()
+    """Rows (hub, hub_version, salt, role, doc_id, version, text) in order; role 0 is the earlier document."""
+    hub, earlier = None, None
     for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            own = np.array(row["lines"], dtype=np.int64).view(_U)
-            if row["role"] == 0:
-                hub, lines, keys = (row["hub"], row["hub_version"]), own, set(np.array(row["keys"], dtype=np.int64).view(_U).tolist())
-            elif (row["hub"], row["hub_version"]) == hub:
-                gone = common_blocks(lines, own, np.array(row["words"], dtype=np.int64), least, keys)
-                if gone.any():
-                    out.append((row["doc_id"], row["version"], np.flatnonzero(gone).tolist()))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int32()))], ["doc_id", "version", "gone"])
-
-
-def repeated_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, version, kept): for documents that lose lines, which lines stay. docs: doc_id, version, text."""
+        for part, text in chunks(batch):
+            lines, out = Lines(text), []
+            for i, (key, version, role, doc_id, own) in enumerate(zip(*(part.column(c).to_pylist() for c in (0, 1, 3, 4, 5)), strict=True)):
+                if role == 0:
+                    hub, earlier = (key, version), tuple(x.copy() for x in lines.row(i))
+                elif (key, version) == hub:
+                    gone = np.diff(np.concatenate(([0], repeated_words(earlier, lines.row(i), least).view(np.int8), [0])))
+                    out += [(doc_id, own, begin, end) for begin, end in zip(np.flatnonzero(gone == 1).tolist(), np.flatnonzero(gone == -1).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], ["doc_id", "version", "begin", "end"])
+
+
+def pairs_of(docs: DataFrame, scratch: Scratch, least: int) -> DataFrame:
+    """(hub, hub_version, doc_id, version): documents and earlier ones to align them with. docs: doc_id, text, version."""
+    gram = max(1, least * GRAM // LEAST_WORDS)
+    keyed = scratch(docs.mapInArrow(lambda batches: key_batches(batches, least, gram), KEYED))
+    first = F.min(F.struct("doc_id", "version")).alias("o")
+    owners = keyed.groupBy("key").agg(first, F.max("doc_id").alias("last"), F.count("*").alias("n"), F.first("line").alias("line"))
+    # The earliest document of a key that another one has, too; common lines make no pairs.
+    owners = scratch(owners.where(f"last > o.doc_id AND NOT (line AND n > {RARE})").select("key", F.col("o.doc_id").alias("hub"), F.col("o.version").alias("hub_version")))
+    return scratch(keyed.join(owners, "key").where("doc_id > hub").select("hub", "hub_version", "doc_id", "version").distinct())
+
+
+def repeated_runs(docs: DataFrame, least: int = LEAST_WORDS, sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """(doc_id, version, runs): for documents that lose words, from which word to which. docs: doc_id, text, version."""
     width, scratch = shuffle_width(docs.sparkSession), Scratch(docs.sparkSession)
-    lined = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(lambda batches: line_batches(batches, least), LINED)
-    lined = scratch(lined.where("size(keys) > 0").dropDuplicates(["doc_id", "version"]))
-    keyed = lined.select(F.explode("keys").alias("key"), "doc_id", "version")
-    # The earliest document with a key, if another one has it too.
-    first = F.min(F.struct("doc_id", "version"))
-    owners = scratch(keyed.groupBy("key").agg(first.alias("o"), F.max("doc_id").alias("last")).where("last > o.doc_id").select("key", F.col("o.doc_id").alias("hub"), F.col("o.version").alias("hub_version")))
-    pairs = scratch(keyed.join(owners, "key").where("doc_id > hub").select("hub", "hub_version", "doc_id", "version").distinct())
+    named = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    pairs = pairs_of(named, scratch, least)
     # The pairs of one earlier document are dealt over all parts, each with a copy of it.
     dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("doc_id", "version"), F.lit(width)))
     hubs = dealt.select("hub", "hub_version", "salt").distinct().select("hub", "hub_version", "salt", F.lit(0).alias("role"), F.col("hub").alias("doc_id"), F.col("hub_version").alias("version"))
-    wanted = dealt.select("hub", "hub_version", "salt", F.lit(1).alias("role"), "doc_id", "version").unionByName(hubs)
-    rows = wanted.join(lined, ["doc_id", "version"]).select("hub", "hub_version", "salt", "role", "doc_id", "version", "lines", "words", "keys")
-    sorted_rows = rows.repartition(width, "hub", "hub_version", "salt").sortWithinPartitions("hub", "hub_version", "salt", "role", "doc_id", "version")
-    gone = scratch(sorted_rows.mapInArrow(lambda batches: align_batches(batches, least), "doc_id long, version long, gone array<int>"))
+    wanted = scratch(dealt.select("hub", "hub_version", "salt", F.lit(1).alias("role"), "doc_id", "version").unionByName(hubs))
+    # The texts of pairs leave the corpus once.
+    some = scratch(wanted.select("doc_id", "version").distinct())
+    texts = scratch(named.join(sendable(some, 32, sent_bytes), ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"]))
+    rows = wanted.join(texts, ["doc_id", "version"]).select("hub", "hub_version", "salt", "role", "doc_id", "version", "text")
+    order = ["hub", "hub_version", "salt", "role", "doc_id", "version"]
+    gone = rows.repartition(width, *order[:3]).sortWithinPartitions(*order).mapInArrow(lambda batches: align_batches(batches, least), "doc_id long, version long, begin long, end long")
     # A document meets few earlier ones for each of its lines; their deletions are united.
-    united = gone.select("doc_id", "version", F.explode("gone").alias("line")).groupBy("doc_id", "version").agg(F.collect_set("line").alias("gone"))
-    united = scratch(united)
+    united = scratch(gone.groupBy("doc_id", "version").agg(F.collect_set(F.struct("begin", "end")).alias("runs")))
     scratch.drop(united)
     return united
 
 
-def drop_batches(batches: Iterator[pa.RecordBatch], text_at: int, gone_at: int) -> Iterator[pa.RecordBatch]:
-    """Deletes lines: the text column gets what is left, ``gone`` becomes the number of lines deleted."""
+def without(raw: bytes, begin: np.ndarray, end: np.ndarray, runs: list[tuple[int, int]]) -> tuple[bytes, int]:
+    """The text without some runs of words, and their number. Lines that lose all words go with their line feed."""
+    gone = np.zeros(len(begin) + 1, dtype=np.int64)
+    for a, b in runs:
+        gone[a] += 1
+        gone[b] -= 1
+    gone = (np.cumsum(gone) > 0).astype(np.int8)
+    step = np.diff(np.concatenate(([0], gone)))
+    out, done = [], 0
+    for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True):
+        start, stop = int(begin[a]), int(end[b - 1])
+        opens, ends = start, stop
+        while opens and raw[opens - 1] != 10 and not NOT_SPACE[raw[opens - 1]]:
+            opens -= 1
+        while ends < len(raw) and raw[ends] != 10 and not NOT_SPACE[raw[ends]]:
+            ends += 1
+        at_start, at_end = opens == 0 or raw[opens - 1] == 10, ends == len(raw) or raw[ends] == 10
+        if at_start and at_end:
+            start, stop = (opens, ends + 1) if ends < len(raw) else (max(opens - 1, 0), ends)
+        else:
+            start, stop = opens if at_end else start, ends
+        out.append(raw[done : max(start, done)])
+        done = stop
+    out.append(raw[done:])
+    return b"".join(out), int(gone.sum())
+
+
+def drop_batches(batches: Iterator[pa.RecordBatch], text_at: int, runs_at: int) -> Iterator[pa.RecordBatch]:
+    """Deletes runs of words: the text column gets what is left, ``runs`` becomes the number of words deleted."""
     for batch in batches:
-        text = batch.column(text_at).to_pylist()
-        gone = batch.column(gone_at).to_pylist()
-        for i, some in enumerate(gone):
-            if some:
-                drop = set(some)
-                text[i] = "\n".join(x for k, x in enumerate(text[i].split("\n")) if k not in drop)
+        runs = batch.column(runs_at).to_pylist()
+        some = [i for i, x in enumerate(runs) if x]
+        text, n = batch.column(text_at), np.zeros(batch.num_rows, dtype=np.int64)
+        if some:
+            out = text.to_pylist()
+            for i in some:
+                raw = out[i].encode()
+                words = Words(Text(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)])), NOT_SPACE, _KEEP_CASE, hashed=False)
+                left, n[i] = without(raw, words.begin, words.end, [(x["begin"], x["end"]) for x in runs[i]])
+                out[i] = left.decode()
+            text = pa.array(out, text.type)
         columns = list(batch.columns)
-        columns[text_at], columns[gone_at] = pa.array(text, columns[text_at].type), pa.array([len(x or ()) for x in gone], pa.int32())
+        columns[text_at], columns[runs_at] = text, pa.array(n)
         yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
 
-def deduplicate(docs: DataFrame, least: int = LEAST_WORDS, name: str = "n_deleted") -> DataFrame:
-    """The rows of docs (doc_id, text and any others) without repeated passages, and the number of lines deleted."""
+def deduplicate(docs: DataFrame, least: int = LEAST_WORDS, name: str = "n_deleted", sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """The rows of docs (doc_id, text and any others) without repeated passages, and the number of words deleted.
+
+    Tables of more than ``sent_bytes`` aren't sent to all executors.
+    """
     own = [f"c{i}" for i in range(len(docs.columns))]
     id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
     plain = docs.toDF(*own)
     key = [F.col(own[id_at]).cast("long").alias("doc_id"), F.xxhash64(own[text_at]).alias("version")]
-    gone = repeated_lines(plain.select(*key[:1], F.col(own[text_at]).alias("text"), key[1]), least)
-    # A merge at every size: the documents that lose lines have no bound. This is the one time that texts move.
-    joined = plain.select(*own, *key).join(gone.hint("merge"), ["doc_id", "version"], "left").select(*own, "gone")
-    schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(own, docs.schema.fields, strict=True)) + ", gone int"
+    gone = repeated_runs(plain.select(key[0], F.col(own[text_at]).alias("text"), key[1]), least, sent_bytes)
+    # Where the runs are too large to be sent this moves all texts, once.
+    size = gone.agg(F.sum(F.size("runs") * 32 + 64)).first()[0] or 0
+    joined = plain.select(*own, *key).join(F.broadcast(gone) if size <= sent_bytes else gone.hint("merge"), ["doc_id", "version"], "left").select(*own, "runs")
+    schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(own, docs.schema.fields, strict=True)) + ", runs long"
     return joined.mapInArrow(lambda batches: drop_batches(batches, text_at, len(own)), schema).toDF(*docs.columns, name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, n_lines, n_deleted, text): every document without what repeats earlier ones."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    return deduplicate(docs).select("doc_id", "n_lines", "n_deleted", "text")
-
-
-ORACLE = rf"""
-WITH l AS (
-    SELECT doc_id, i, list_extract(s, i) AS line, len(regexp_extract_all(list_extract(s, i), '[^\x20\x09-\x0D]+')) AS n
-    FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL))
-),
-c AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS cum FROM l),
-f AS (SELECT a.doc_id, a.i AS a, min(b.i) AS b FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.cum - a.cum + a.n >= {LEAST_WORDS} GROUP BY 1, 2),
-r AS (SELECT b.doc_id, max(a.i) AS a, b.i AS b FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.cum - a.cum + a.n >= {LEAST_WORDS} GROUP BY b.doc_id, b.i),
-w AS (SELECT * FROM f UNION SELECT * FROM r),
-k AS (SELECT w.doc_id, a, b, string_agg(line, chr(10) ORDER BY i) AS key FROM w JOIN c ON c.doc_id = w.doc_id AND i BETWEEN a AND b GROUP BY w.doc_id, a, b),
-o AS (SELECT doc_id, a, b FROM (SELECT *, min(doc_id) OVER (PARTITION BY key) AS first FROM k) WHERE first < doc_id),
-g AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(a, b + 1)) AS i FROM o))
-SELECT d.doc_id, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS INTEGER) AS n_lines, CAST(coalesce(x.n, 0) AS INTEGER) AS n_deleted,
-    CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(y.text, '') END AS text
-FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id) x ON x.doc_id = d.doc_id
-LEFT JOIN (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM l LEFT JOIN g USING (doc_id, i) WHERE g.doc_id IS NULL GROUP BY l.doc_id) y ON y.doc_id = d.doc_id
-"""
+    """(doc_id, n_deleted, text): every document without what repeats earlier ones."""
+    return deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_deleted", "text")

@@ -26,5 +26,4 @@ ORACLES: dict[str, str] = {
     "op4_decontaminate": decontaminate.ORACLE,
     "op8_near_dup": near_dup.ORACLE,
     "op9_packing": packing.ORACLE,
-    "op10_line_dedup": line_dedup.ORACLE,
 }
