@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from paperledger.session import ship
 
@@ -35,8 +36,6 @@ BITS_A_HASH, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 27
 #: Bytes of a table that are sent to all executors at most; greater ones are joined by a shuffle.
 SENT_BYTES = 32 << 20
 FOUND = ["n_words", "begins", "ends", "items"]
-#: Runs of bytes as in ``ALNUM``, without regard to the case of A-Z.
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 HITS = "h1 long, h2 long, size int, hash long, at int, near array<long>"
 PRINTS = "item string, size int, hash long, near array<long>"
 _U = np.uint64
@@ -166,6 +165,14 @@ def merged(runs: Iterator[tuple[int, int]]) -> tuple[list[int], list[int]]:
     return begins, ends
 
 
+def size_batches(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """Adds the number of words."""
+    for batch in batches:
+        for part, text in chunks(batch, text_col):
+            n_words = Words(text, ALNUM, hashed=False).count
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n_words, pa.int64())], [*part.schema.names, "n_words"])
+
+
 def merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of a text, each as begin and end, to runs that don't touch."""
     for batch in batches:
@@ -208,8 +215,9 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", ite
     size = found.agg(F.sum("size")).first()[0] or 0
     found = found.drop("size")
     none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
-    n_words = F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
-    out = keyed.select(*own, "h1", "h2", n_words.alias("n_words")).join(F.broadcast(found) if size <= sent_bytes else found.hint("merge"), ["h1", "h2"], "left")
+    at = docs.columns.index(text_col)
+    schema = StructType([*keyed.schema.fields, StructField("n_words", LongType())])
+    out = keyed.mapInArrow(lambda batches: size_batches(batches, own[at]), schema).join(F.broadcast(found) if size <= sent_bytes else found.hint("merge"), ["h1", "h2"], "left")
     out = out.select(*own, "n_words", none("begins", "int"), none("ends", "int"), none("items", "string"))
     names = list(docs.columns)
     for name in FOUND:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, POWERS, Scratch, Text, Words, chunks, mix, shuffle_width, table
-from .decontaminate import sendable, winnow
+from .decontaminate import sendable
 
 LEAST_WORDS, GRAM = 50, 32
 #: Documents that may have a line that counts as rare, and changed lines in a row inside a region.
@@ -50,9 +50,10 @@ _KEEP_CASE = np.arange(256, dtype=np.uint8)
 
 
 class Lines:
-    """The words of some texts and the lines that have any: first words, one after another, and the first line of each row."""
+    """The words of some texts and the lines that have any: first words, one after another, and the first line of each
+    row; and winnowed hashes of runs of words, of which every run of ``least`` words has one, with their places."""
 
-    def __init__(self, text: Text) -> None:
+    def __init__(self, text: Text, least: int = LEAST_WORDS) -> None:
         self.words = Words(text, NOT_SPACE, _KEEP_CASE)
         feeds = np.flatnonzero(text.data == 10)
         starts = np.unique(np.concatenate((self.words.first[:-1], np.searchsorted(self.words.begin, feeds))))
@@ -60,11 +61,39 @@ class Lines:
         self.end = np.append(self.start[1:], len(self.words.begin))[: len(self.start)]
         self.first = np.searchsorted(self.start, self.words.first)
         self.hash = spans(self.words.hash, self.start, self.end) if len(self.start) else np.empty(0, dtype=_U)
-
-    def row(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word hashes of a row, its lines' first words, and their hashes."""
+        gram = max(1, least * GRAM // LEAST_WORDS)
+        begin = np.flatnonzero(np.repeat(self.words.first[1:], self.words.count) - np.arange(len(self.words.begin)) >= gram)
+        runs = spans(self.words.hash, begin, begin + gram) if len(begin) else np.empty(0, dtype=_U)
+        kept = least_of_runs(runs, self.words.row()[begin], least - gram + 1)
+        self.print, self.print_at = runs[kept], begin[kept]
+        self.print_first = np.searchsorted(self.print_at, self.words.first)
+
+    def row(self, i: int) -> tuple[np.ndarray, ...]:
+        """Word hashes of a row, its lines' first words and their hashes, and hashes of runs and their first words."""
         a, b, c, d = self.words.first[i], self.words.first[i + 1], self.first[i], self.first[i + 1]
-        return self.words.hash[a:b], self.start[c:d] - a, self.hash[c:d]
+        e, f = self.print_first[i], self.print_first[i + 1]
+        return self.words.hash[a:b], self.start[c:d] - a, self.hash[c:d], self.print[e:f], self.print_at[e:f] - a
+
+
+def least_of_runs(value: np.ndarray, row: np.ndarray, run: int) -> np.ndarray:
+    """Places of values that are the least of some ``run`` values in a row of one text."""
+    if len(value) < run:
+        return np.empty(0, dtype=np.int64)
+    low = extremes(value, run, np.minimum)
+    # A window that spans two texts must not keep a value; 0 is no greater than any.
+    low = np.where(row[: len(low)] == row[run - 1 :], low, _U(0))
+    padded = np.concatenate((np.zeros(run - 1, dtype=_U), low, np.zeros(run - 1, dtype=_U)))
+    return np.flatnonzero(extremes(padded, run, np.maximum) == value)
+
+
+def extremes(value: np.ndarray, run: int, of) -> np.ndarray:
+    """The least or greatest of each ``run`` values in a row, by doubling."""
+    out, width = value, 1
+    while width < run:
+        step = min(width, run - width)
+        out = of(out[:-step], out[step:])
+        width += step
+    return out
 
 
 def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -83,14 +112,13 @@ def once_a_row(row: np.ndarray, key: np.ndarray) -> np.ndarray:
     return order[new]
 
 
-def key_batches(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> Iterator[pa.RecordBatch]:
+def key_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Hashes of lines, and of some runs of words, once for each text that has them."""
     for batch in batches:
         for part, text in chunks(batch):
-            lines = Lines(text)
-            value, at = winnow(lines.words, gram, least)
-            row = np.concatenate((np.repeat(np.arange(len(text)), np.diff(lines.first)), np.searchsorted(lines.words.first, at, side="right") - 1))
-            key = np.concatenate((mix(lines.hash + _U(1)), mix(value + _U(2))))
+            lines = Lines(text, least)
+            row = np.concatenate([np.repeat(np.arange(len(text)), np.diff(x)) for x in (lines.first, lines.print_first)])
+            key = np.concatenate((mix(lines.hash + _U(1)), mix(lines.print + _U(2))))
             some = once_a_row(row, key)
             yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(row[some])) for k in (0, 2)), pa.array(key[some].view(np.int64)), pa.array(some < len(lines.hash))], ["doc_id", "version", "key", "line"])
 
@@ -164,22 +192,22 @@ def _ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def matched(a: np.ndarray, a_line: np.ndarray, a_hash: np.ndarray, b: np.ndarray, b_line: np.ndarray, b_hash: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """For each word of b the place of its partner in a, or -1, and the pairs of lines. Lines: first words, and hashes."""
+def matched(a: np.ndarray, a_line: np.ndarray, b: np.ndarray, b_line: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
+    """For each word of b the place of its partner in a, or -1: those of paired lines, and between them by words."""
     partner = np.full(len(b), -1)
-    pairs = patience(a_hash.tolist(), b_hash.tolist())
-    a_end, b_end = np.append(a_line[1:], len(a)), np.append(b_line[1:], len(b))
+    a_start, b_start = a_line.tolist(), b_line.tolist()
+    a_end, b_end = [*a_start[1:], len(a)], [*b_start[1:], len(b)]
     x = y = 0
     words_a, words_b = a.tolist(), b.tolist()
     for i, j in [*pairs, (-1, -1)]:
-        x1, y1 = (a_line[i], b_line[j]) if i >= 0 else (len(a), len(b))
+        x1, y1 = (a_start[i], b_start[j]) if i >= 0 else (len(a), len(b))
         if x < x1 and y < y1:
             for p, q in patience(words_a[x:x1], words_b[y:y1]):
                 partner[y + q] = x + p
         if i >= 0:
             partner[y1 : b_end[j]] = np.arange(x1, a_end[i])
             x, y = a_end[i], b_end[j]
-    return partner, pairs
+    return partner
 
 
 def regions(pairs: list[tuple[int, int]], size: np.ndarray, least: int) -> list[int]:
@@ -195,35 +223,39 @@ def regions(pairs: list[tuple[int, int]], size: np.ndarray, least: int) -> list[
     return out
 
 
-def repeated_words(earlier: tuple[np.ndarray, np.ndarray, np.ndarray], later: tuple[np.ndarray, np.ndarray, np.ndarray], least: int) -> np.ndarray:
-    """Which words of the later document lie in aligned blocks or regions. Documents: words, first words and hashes of lines."""
-    (a, a_line, a_hash), (b, b_line, b_hash) = earlier, later
-    gone, line_of = np.zeros(len(b), dtype=bool), np.repeat(np.arange(len(b_line)), np.diff(np.append(b_line, len(b))))
+def repeated_words(earlier: tuple[np.ndarray, ...], later: tuple[np.ndarray, ...], least: int) -> np.ndarray:
+    """Which words of the later document lie in aligned blocks or regions. Documents: as in ``Lines.row``.
+
+    Words are aligned only while the documents share a hash of a run that isn't gone: without one there is no block.
+    """
+    (a, a_line, a_hash, a_print, _), (b, b_line, b_hash, b_print, b_print_at) = earlier, later
+    gone, size_of = np.zeros(len(b), dtype=bool), np.diff(np.append(b_line, len(b)))
+    line_of = np.repeat(np.arange(len(b_line)), size_of)
+    shared = b_print_at[np.isin(b_print, a_print)]
     copies = 1
     while True:
         left = np.flatnonzero(~gone)
         if len(left) < least:
             break
-        # Lines of which some words are gone aren't lines any more; the rest of such a line goes with the line before.
-        whole = ~np.bincount(line_of, gone, len(b_line)).astype(bool)
-        start = np.searchsorted(left, b_line[whole])
-        if len(start) and start[0] or not len(start):
-            start, hashes = np.append(0, start), np.append(_U(0), b_hash[whole])
-        else:
-            hashes = b_hash[whole].copy()
-        size = np.diff(np.append(start, len(left)))
-        hashes[size != np.diff(np.append(b_line, len(b)))[np.searchsorted(b_line, left[start], side="right") - 1]] = 0
-        tiled = np.tile(a, copies), (a_line + len(a) * np.arange(copies)[:, None]).ravel(), np.tile(a_hash, copies)
-        partner, pairs = matched(*tiled, b[left], start, hashes)
-        run = np.ones(len(left), dtype=bool)  # whether a word opens a block
-        run[1:] = (partner[1:] != partner[:-1] + 1) | (left[1:] != left[:-1] + 1) | (partner[1:] % max(len(a), 1) == 0)
-        block = np.cumsum(run) - 1
-        long_enough = (np.bincount(block) >= least)[block] & (partner >= 0)
-        for j in regions([p for p in pairs if hashes[p[1]]], size, least):
-            long_enough[start[j] : start[j] + size[j]] = True
-        if not long_enough.any():
+        # Lines of which some words are gone aren't lines any more.
+        rest = np.bincount(line_of[left], minlength=len(b_line))
+        some = np.flatnonzero(rest)
+        hashes, size = np.where(rest == size_of, b_hash, _U(0))[some], rest[some]
+        start = np.cumsum(size) - size
+        a_lines = np.tile(a_hash, copies)
+        pairs = [p for p in patience(a_lines.tolist(), hashes.tolist()) if hashes[p[1]]]
+        chosen = np.zeros(len(left), dtype=bool)
+        for j in regions(pairs, size, least):
+            chosen[start[j] : start[j] + size[j]] = True
+        if len(shared) and not gone[shared].all():
+            partner = matched(np.tile(a, copies), (a_line + len(a) * np.arange(copies)[:, None]).ravel(), b[left], start, pairs)
+            opens = np.ones(len(left), dtype=bool)  # whether a word opens a block
+            opens[1:] = (partner[1:] != partner[:-1] + 1) | (left[1:] != left[:-1] + 1) | (partner[1:] % max(len(a), 1) == 0)
+            block = np.cumsum(opens) - 1
+            chosen |= (np.bincount(block) >= least)[block] & (partner >= 0)
+        if not chosen.any():
             break
-        gone[left[long_enough]] = True
+        gone[left[chosen]] = True
         copies = 1 + int((~gone).sum()) // max(len(a), 1)
     return gone
 
@@ -233,7 +265,7 @@ def align_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.
     hub, earlier = None, None
     for batch in batches:
         for part, text in chunks(batch):
-            lines, out = Lines(text), []
+            lines, out = Lines(text, least), []
             for i, (key, version, role, doc_id, own) in enumerate(zip(*(part.column(c).to_pylist() for c in (0, 1, 3, 4, 5)), strict=True)):
                 if role == 0:
                     hub, earlier = (key, version), tuple(x.copy() for x in lines.row(i))
@@ -245,8 +277,7 @@ def align_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.
 
 def pairs_of(docs: DataFrame, scratch: Scratch, least: int) -> DataFrame:
     """(hub, hub_version, doc_id, version): documents and earlier ones to align them with. docs: doc_id, text, version."""
-    gram = max(1, least * GRAM // LEAST_WORDS)
-    keyed = scratch(docs.mapInArrow(lambda batches: key_batches(batches, least, gram), KEYED))
+    keyed = scratch(docs.mapInArrow(lambda batches: key_batches(batches, least), KEYED))
     first = F.min(F.struct("doc_id", "version")).alias("o")
     owners = keyed.groupBy("key").agg(first, F.max("doc_id").alias("last"), F.count("*").alias("n"), F.first("line").alias("line"))
     # The earliest document of a key that another one has, too; common lines make no pairs.

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, Words, chunks, lists, mix, series, shuffle_width, table
@@ -45,10 +45,8 @@ SLACK = 4.5
 #: Rounds in which each class outside the largest component of a bucket is compared with the likeliest of a
 #: few members of that component, and their number in each bucket.
 ROUNDS, REPRESENTATIVES = 3, 6
-#: Pairs outside the largest component up to which a bucket is compared inside the join.
-FEW_PAIRS = 4096
-#: Slots in which shingles are counted for the order of the rare ones. Shingles may share one: it is an order in any case.
-SLOTS = 1 << 20
+#: Pairs outside the largest component up to which a bucket is compared inside the join: a second of work or so.
+FEW_PAIRS = 1 << 24
 PER_LONG = 64 // BITS
 _U = np.uint64
 _FACTORS, _SHIFTS = series(PERMS, 11) | _U(1), series(PERMS, 12)
@@ -193,42 +191,30 @@ def confirm(pairs: DataFrame, sketched: DataFrame, shingle: int, percent: int) -
     return rows.repartition(width, "hub", "salt").sortWithinPartitions("hub", "salt", "role", "node").mapInArrow(lambda batches: compare_batches(batches, shingle, percent), "u long, v long")
 
 
-def slot_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """How many sets of a task have a shingle in each slot."""
-    total = np.zeros(SLOTS, dtype=np.int64)
-    for batch in batches:
-        for _, text in chunks(batch):
-            values, _ = sets(Words(text), shingle)
-            total += np.bincount((mix(values) & _U(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
-
-
-def rare_batches(batches: Iterator[pa.RecordBatch], shingle: int, percent: int, sent) -> Iterator[pa.RecordBatch]:
-    """The rarest shingles of each set, as many as a similar set must share one of; those of no other set are left out."""
-    counts = sent.value
+def shingle_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """Rows (node, label, size, shingle) of the sets of (node, label, text)."""
     for batch in batches:
         for part, text in chunks(batch):
             values, starts = sets(Words(text), shingle)
-            often = counts[(mix(values) & _U(SLOTS - 1)).astype(np.int64)]
             size = np.diff(starts)
             row = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((values, often, row))
-            nth = np.arange(len(values)) - np.repeat(starts[:-1], size)
-            most = size - (size * percent + 99) // 100 + 1
-            some = order[(nth < np.repeat(most, size)) & (often[order] > 1)]
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[some])), pa.array(values[some].view(np.int64))], ["node", "shingle"])
-
-
-def rare_pairs(nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(node, hub), node > hub: the pairs of different labels that share a rare shingle. nodes: node, text, label."""
-    spark = nodes.sparkSession
-    slots = nodes.select("node", "text").mapInArrow(lambda batches: slot_batches(batches, shingle), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(SLOTS, dtype=np.int64)
-    counts[slots.column("slot").to_numpy()] = slots.column("n").to_numpy()
-    sent = spark.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.int32).max).astype(np.int32))
-    rare = nodes.select("node", "text").mapInArrow(lambda batches: rare_batches(batches, shingle, percent, sent), "node long, shingle long")
-    rare = rare.join(nodes.select("node", "label"), "node")
+            yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(row)) for k in (0, 1)), pa.array(size[row]), pa.array(values.view(np.int64))], ["node", "label", "size", "shingle"])
+
+
+def rare_pairs(nodes: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
+    """(node, hub), node > hub: the pairs of different labels that share a rare shingle. nodes: node, label, text.
+
+    Shingles are ordered by the number of sets that have them. Those of one set only come first and pair nothing, so
+    of each set only the others are ordered; no more rows than there are shingles are made before the pairs.
+    """
+    each = scratch(nodes.select("node", "label", "text").mapInArrow(lambda batches: shingle_batches(batches, shingle), "node long, label long, size long, shingle long"))
+    often = scratch(each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"))
+    common = each.join(often, "shingle")
+    mine = Window.partitionBy("node")
+    # Places from 1 on, behind the shingles of this set alone.
+    place = F.row_number().over(mine.orderBy("n", "shingle")) + F.col("size") - F.count("*").over(mine)
+    most = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    rare = scratch(common.withColumn("place", place).where(F.col("place") <= most).select("shingle", "node", "label"))
     hubs = rare.select("shingle", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
     return rare.join(hubs, "shingle").where("node > hub AND label <> hub_label").select("node", "hub").distinct()
 
@@ -301,7 +287,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     # Pairs of fuller buckets, the first bucket of some pairs left out above among them, must share a rare shingle.
     crowd = scratch(left.where(fuller).select("node", "label").distinct())
     if not crowd.isEmpty():
-        pairs = rare_pairs(scratch(crowd.join(sketched.select("node", "text"), "node")), shingle, percent)
+        pairs = rare_pairs(crowd.join(sketched.select("node", "text"), "node"), scratch, shingle, percent)
         more = scratch(confirm(pairs.join(mine, "node").join(theirs, "hub").where(close).select("hub", "node"), sketched, shingle, percent))
         if not more.isEmpty():
             found = joined(found, more, scratch)
