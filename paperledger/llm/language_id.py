@@ -4,30 +4,33 @@ The network is trained in numpy by backpropagation through time on windows of ``
 every byte of a text a probability for each language, and a document the mean over its bytes. A text is
 cut into windows that cover it whole; the windows of many texts run side by side.
 
-The sample for training has at most ``PER_LANG`` documents of each language, by a hash of the id, and pieces of
-their text. All languages are learned, those after the ``FIRST_LANGS`` most frequent from ``LEAST_DOCS``
-documents on; a language of fewer has no class, and its documents get that of the nearest one. Rows without
-lang or of the held-out fold are never learned from; only text goes into a prediction.
+The sample for training has at most ``PER_LANG`` documents of each language, by a hash of the id, found in one pass
+over ids and languages and then read once, whole (see ``sampling``). All languages are learned, those after the
+``FIRST_LANGS`` most frequent in the sample from ``LEAST_DOCS`` documents on; a language of fewer has no class, and its
+documents get that of the nearest one. Rows without lang or of the held-out fold are never learned from; only text
+goes into a prediction.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; if nothing can be learned
-(an empty table, no lang) every text is ``und``; a null doc_id counts as not held out and is not learned
-from; repeated rows are reported each; other columns are ignored.
+(an empty table, no lang) every text is ``und``; of languages with equal probability the first by name is taken; very
+long texts are labelled whole; a null doc_id counts as not held out and is not learned from; repeated rows are reported
+each; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperledger.session import ship
 
 from .adam import Adam
 from .common import Text, chunks, table
-from .sampling import first_rows, pieces, remainder
+from .sampling import MOST_CHARS, first_rows, remainder
 
 SPAN, HIDDEN, LANES = 64, 8, 1024
 PER_LANG, FIRST_LANGS, LEAST_DOCS = 300, 64, 5
@@ -108,7 +111,7 @@ class Network:
 
 
 def train(samples: list[tuple[str, bytes]], langs: list[str]) -> Network:
-    """samples: language and a piece of text."""
+    """samples: language and a text. Each step takes a window of a text of each language, from anywhere in it."""
     net, rng = Network(langs), np.random.default_rng(SEED)
     lang = np.array([langs.index(x) for x, _ in samples])
     by = [np.flatnonzero(lang == k) for k in range(len(langs))]
@@ -182,25 +185,20 @@ def predict_batches(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.Reco
 
 def fit(docs: DataFrame) -> Network | None:
     """docs: doc_id, text, lang. None if there is nothing to learn from."""
-    known = docs.where((remainder(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # A row for each language that is learned.
-    counted = known.groupBy("lang").count()
-    first = [x["lang"] for x in counted.orderBy(F.desc("count"), "lang").limit(FIRST_LANGS).collect()]
-    if not first:
+    known = docs.where((remainder(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull())
+    # At most PER_LANG rows of each language, of ids.
+    chosen = first_rows(known.select("doc_id", "lang"), "lang", PER_LANG).collect()
+    size = Counter(x["lang"] for x in chosen)
+    ranked = sorted(size, key=lambda x: (-size[x], x))
+    langs = {x for i, x in enumerate(ranked) if i < FIRST_LANGS or size[x] >= LEAST_DOCS}
+    if not langs:
         return None
-    chosen = first_rows(known.select("doc_id", "lang"), "lang", first, PER_LANG)
-    langs = first
-    if len(first) == FIRST_LANGS:
-        more = [x["lang"] for x in counted.where(~F.col("lang").isin(first) & (F.col("count") >= LEAST_DOCS)).select("lang").orderBy("lang").collect()]
-        # Of each part of the table only the first rows of a language are shuffled.
-        nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-        rest = known.select("doc_id", "lang").where(F.col("lang").isin(more)).withColumn("nth", nth).where(F.col("nth") <= PER_LANG).drop("nth")
-        chosen, langs = chosen.unionByName(rest), first + more
-    rows = known.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).select("lang", F.xxhash64("doc_id").alias("h"), F.explode(pieces(F.col("text"))).alias("piece"))
-    got = rows.orderBy("h", "lang", "piece").limit(PER_LANG * len(langs) * 12).collect()
-    samples = [(x["lang"], x["piece"].encode()) for x in got if has_letter(x["piece"].encode())]
-    langs = sorted({x for x, _ in samples})
-    return train(samples, langs) if langs else None
+    ids = docs.sparkSession.createDataFrame(sorted({(x["doc_id"], x["lang"]) for x in chosen if x["lang"] in langs}), "doc_id long, lang string")
+    rows = known.where(F.length("text") <= MOST_CHARS).join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", F.xxhash64("doc_id").alias("h"), "text")
+    got = sorted((x["h"], x["lang"], x["text"]) for x in rows.collect() if has_letter(x["text"].encode()))
+    samples = [(lang, text.encode()) for _, lang, text in got]
+    learned = sorted({x for x, _ in samples})
+    return train(samples, learned) if learned else None
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -123,10 +123,11 @@ def key_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(row[some])) for k in (0, 2)), pa.array(key[some].view(np.int64)), pa.array(some < len(lines.hash))], ["doc_id", "version", "key", "line"])
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+def patience(a: list[int], b: list[int], least: int = 1) -> list[tuple[int, int]]:
     """Pairs of places of equal elements, ascending on both sides: unique ones are anchors, grown and refined.
 
     Between anchors where nothing is unique on both sides the n-th occurrences of an element are taken for the same.
+    What lies between blocks is refined only if it can hold a block of ``least`` elements.
     """
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
@@ -138,7 +139,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
             a1, b1 = a1 - 1, b1 - 1
             out.append((a1, b1))
-        if a0 == a1 or b0 == b1:
+        if min(a1 - a0, b1 - b0) < least:
             continue
         for keyed in (_unique, _numbered):
             once = keyed(a, a0, a1)
@@ -192,7 +193,7 @@ def _ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def matched(a: np.ndarray, a_line: np.ndarray, b: np.ndarray, b_line: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
+def matched(a: np.ndarray, a_line: np.ndarray, b: np.ndarray, b_line: np.ndarray, pairs: list[tuple[int, int]], least: int) -> np.ndarray:
     """For each word of b the place of its partner in a, or -1: those of paired lines, and between them by words."""
     partner = np.full(len(b), -1)
     a_start, b_start = a_line.tolist(), b_line.tolist()
@@ -202,7 +203,7 @@ def matched(a: np.ndarray, a_line: np.ndarray, b: np.ndarray, b_line: np.ndarray
     for i, j in [*pairs, (-1, -1)]:
         x1, y1 = (a_start[i], b_start[j]) if i >= 0 else (len(a), len(b))
         if x < x1 and y < y1:
-            for p, q in patience(words_a[x:x1], words_b[y:y1]):
+            for p, q in patience(words_a[x:x1], words_b[y:y1], least):
                 partner[y + q] = x + p
         if i >= 0:
             partner[y1 : b_end[j]] = np.arange(x1, a_end[i])
@@ -242,13 +243,15 @@ def repeated_words(earlier: tuple[np.ndarray, ...], later: tuple[np.ndarray, ...
         some = np.flatnonzero(rest)
         hashes, size = np.where(rest == size_of, b_hash, _U(0))[some], rest[some]
         start = np.cumsum(size) - size
-        a_lines = np.tile(a_hash, copies)
-        pairs = [p for p in patience(a_lines.tolist(), hashes.tolist()) if hashes[p[1]]]
+        runs_left = len(shared) and not gone[shared].all()
+        if not runs_left and size[np.isin(hashes, a_hash)].sum() < least:
+            break
+        pairs = [p for p in patience(np.tile(a_hash, copies).tolist(), hashes.tolist()) if hashes[p[1]]]
         chosen = np.zeros(len(left), dtype=bool)
         for j in regions(pairs, size, least):
             chosen[start[j] : start[j] + size[j]] = True
-        if len(shared) and not gone[shared].all():
-            partner = matched(np.tile(a, copies), (a_line + len(a) * np.arange(copies)[:, None]).ravel(), b[left], start, pairs)
+        if runs_left:
+            partner = matched(np.tile(a, copies), (a_line + len(a) * np.arange(copies)[:, None]).ravel(), b[left], start, pairs, least)
             opens = np.ones(len(left), dtype=bool)  # whether a word opens a block
             opens[1:] = (partner[1:] != partner[:-1] + 1) | (left[1:] != left[:-1] + 1) | (partner[1:] % max(len(a), 1) == 0)
             block = np.cumsum(opens) - 1

@@ -4,15 +4,17 @@ Learned filters of ``WIDTH`` bytes slide over chunks of ``CHUNK`` bytes; chunks
 bytes and cover the document whole. Each filter is max-pooled over a chunk; a hidden layer scores a chunk
 and the document's probability is that of the mean over its chunks, weighted by their length.
 
-For prediction the filters are folded into tables over pairs of byte classes, so a position costs
-``WIDTH / 2`` look-ups instead of a matrix product.
+For prediction the filters are folded into tables over pairs of bytes, so a position costs ``WIDTH / 2`` look-ups
+instead of a matrix product.
 
 The sample for training has at most ``PER_CLASS`` labelled documents of either label, outside the held-out
-fold, by a hash of the id, and pieces of their text. Only text goes into a score.
+fold, by a hash of the id, whole (see ``sampling``): each step takes ``PIECES_A_STEP`` chunks of a document, from
+anywhere in it. Only text goes into a score.
 
 Defined cases: null and empty texts are scored as texts of no bytes; without labelled rows of both labels
-every score is 1.0; a null doc_id counts as not held out and is not learned from; repeated rows are
-reported each; other columns are ignored.
+every score is 1.0; very long texts are scored whole; a null doc_id counts as not held out and is not learned from;
+repeated rows are reported each; other columns are kept, and a column that docs already have a name for gets
+underscores.
 """
 
 from __future__ import annotations
@@ -28,19 +30,16 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from paperledger.session import ship
 
 from .adam import Adam
-from .common import Text, chunks, table, text_of
-from .sampling import labelled, pieces, remainder
+from .common import Text, chunks, table
+from .sampling import labelled, remainder
 
 WIDTH, CHUNK, FILTERS, EMBED, HIDDEN = 6, 256, 16, 6, 12
 PIECES_A_STEP, SHORT_SHARE = 3, 0.35
-CLASSES = 137
+#: Each byte is a class of its own; the last one pads.
+CLASSES, PAD = 257, 256
 PER_CLASS, STEPS, BATCH, RATE, SEED = 1200, 360, 48, 0.01, 5
 FOLDS, THRESHOLD = 5, 0.3
 
-#: ASCII bytes are classes of their own, others go by their upper five bits; the last class pads.
-CLASS = np.where(np.arange(256) < 128, np.arange(256), 128 + (np.arange(256) - 128) // 16).astype(np.int32)
-PAD = CLASSES - 1
-
 
 def padded(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Byte classes with room behind each row for the last filter positions; the first filter position of
@@ -51,7 +50,7 @@ def padded(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     start = np.concatenate(([0], np.cumsum(room)))
     out = np.full(start[-1] + 1, PAD, dtype=np.int32)
     if len(text.data):
-        out[np.arange(len(text.data)) + np.repeat(start[:-1] - text.first[:-1], size)] = CLASS[text.data]
+        out[np.arange(len(text.data)) + np.repeat(start[:-1] - text.first[:-1], size)] = text.data
     count = -(-positions // CHUNK)
     row = np.repeat(np.arange(len(size)), count)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
@@ -127,34 +126,38 @@ class Scorer:
         return 1 / (1 + np.exp(-np.bincount(row, length * logit, n) / np.bincount(row, length, n)))
 
 
-def shortened(piece: str, rng: np.random.Generator) -> str:
-    """Now and then a part of a piece, of any order of length, since short documents are few."""
-    if rng.random() >= SHORT_SHARE:
-        return piece
-    size = int(2 ** rng.uniform(4, 8))
-    start = int(rng.integers(0, max(1, len(piece) - size + 1)))
-    return piece[start : start + size]
+def some_pieces(text: bytes, rng: np.random.Generator) -> list[bytes]:
+    """A few chunks of a text, from anywhere in it; now and then parts of any order of length, since short documents are few."""
+    if len(text) <= CHUNK * PIECES_A_STEP:
+        out = [text[i : i + CHUNK] for i in range(0, max(len(text), 1), CHUNK)]
+    else:
+        out = [text[i : i + CHUNK] for i in rng.integers(0, len(text) - CHUNK + 1, PIECES_A_STEP).tolist()]
+    for i, piece in enumerate(out):
+        if rng.random() < SHORT_SHARE:
+            size = int(2 ** rng.uniform(4, 8))
+            start = int(rng.integers(0, max(1, len(piece) - size + 1)))
+            out[i] = piece[start : start + size]
+    return out
 
 
-def train(samples: list[tuple[list[str], int]]) -> Network:
-    """samples: pieces of a document and its label. Batches hold as many documents of either label."""
+def train(samples: list[tuple[bytes, int]]) -> Network:
+    """samples: a document and its label. Batches hold as many documents of either label."""
     net, rng = Network(), np.random.default_rng(SEED)
     by = [np.array([i for i, (_, y) in enumerate(samples) if y == k]) for k in (0, 1)]
     adam = Adam(net.w, RATE)
     for step in range(STEPS):
         pick = np.concatenate([rng.choice(x, BATCH // 2) for x in by])
-        some = [(d, shortened(piece, rng)) for d, i in enumerate(pick) for piece in samples[i][0][:PIECES_A_STEP]]
-        text = text_of(pa.array([x for _, x in some], pa.large_string()))
+        some = [(d, piece) for d, i in enumerate(pick) for piece in some_pieces(samples[i][0], rng)]
+        text = Text(np.frombuffer(b"".join(x for _, x in some), dtype=np.uint8), np.cumsum([0] + [len(x) for _, x in some]))
         adam(net.slopes(text, np.array([d for d, _ in some]), np.repeat((0.0, 1.0), BATCH // 2)), 1.0 if step < STEPS * 0.7 else 0.2)
     return net
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer | None:
     """None if labelled rows of both labels aren't there."""
-    rows = labelled(docs, labels, "quality", FOLDS, PER_CLASS).select(F.xxhash64("doc_id").alias("h"), "label", pieces(F.col("text")).alias("pieces"))
-    got = rows.orderBy("h", "label", "pieces").limit(4 * PER_CLASS).collect()
-    rng = np.random.default_rng(SEED)
-    samples = [([x["pieces"][i] for i in rng.permutation(len(x["pieces"]))], x["label"]) for x in got]
+    rows = labelled(docs, labels, "quality", FOLDS, PER_CLASS).select(F.xxhash64("doc_id").alias("h"), "label", "text")
+    got = sorted((x["h"], x["label"], x["text"]) for x in rows.collect())
+    samples = [(text.encode(), label) for _, label, text in got]
     return Scorer(train(samples)) if {y for _, y in samples} == {0, 1} else None
 
 
@@ -168,8 +171,11 @@ def score_batches(batches: Iterator[pa.RecordBatch], sent, name: str) -> Iterato
 
 
 def scored(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
-    """The rows of docs (doc_id, text and any others) with the score as a last column of that name."""
+    """The rows of docs (doc_id, text and any others) with the score as a last column of that name, or the name with
+    underscores where docs have it."""
     ship(docs.sparkSession)
+    while name in docs.columns:
+        name += "_"
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text"), labels))
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
     return docs.mapInArrow(lambda batches: score_batches(batches, sent, name), schema)

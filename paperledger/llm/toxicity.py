@@ -2,23 +2,25 @@
 
 The lexicon is learned: of a bounded sample of labelled documents (one of each family of copies) the terms
 are kept that toxic documents have and others don't, by a likelihood ratio. Its trie is intersected with
-Levenshtein automata of distance ``EDITS`` (exact for terms under ``FUZZY_FROM`` characters) into one
-deterministic automaton, which all words of a batch run through side by side.
+Levenshtein automata of distance ``EDITS``, where a swap of neighbours is one edit (terms under ``FUZZY_FROM``
+characters are matched exactly), into one deterministic automaton, which all words of a batch run through side by side.
 
 Each hit gets a context: whether quotation marks or words of reporting stand within ``CONTEXT`` words, and
 whether other hits are near. A logistic regression over a document's hits by kind of context and spelling
 gives its score. Hits in quotation have weights of their own, which start at no evidence of abuse.
 
 The sample has at most ``PER_CLASS`` labelled documents of either label, outside the held-out fold, by a hash
-of the id; the lexicon has at most ``TERMS`` terms. Only text goes into a score.
+of the id, whole (see ``sampling``); the lexicon has all terms of it that pass the test. Only text goes into a score.
 
 Defined cases: null and empty texts have no hits; without labelled rows of both labels or without terms every
-score is the prior's, under 0.5; a null doc_id counts as not held out and is not learned from; repeated rows
+score is the prior's, under 0.5; characters of any plane are letters if Unicode has them as such; very long texts are
+scored whole; a null doc_id counts as not held out and is not learned from; repeated rows
 are reported each; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -32,7 +34,7 @@ from paperledger.session import ship
 from .common import Words, chunks, table
 from .sampling import labelled, remainder
 
-PER_CLASS, TERMS, LEAST_RATIO, LEAST_DOCS = 3000, 600, 14.0, 5
+PER_CLASS, LEAST_RATIO, LEAST_DOCS = 3000, 14.0, 5
 EDITS, FUZZY_FROM, LEAST_LENGTH = 1, 5, 3
 CONTEXT, NEAR = 6, 30
 FOLDS, THRESHOLD, PASSES, RATE, RIDGE = 5, 0.5, 400, 0.5, 1e-3
@@ -71,39 +73,51 @@ class Automaton:
         size = len(self.symbols) + 1
         fuzzy_end = {n: len(terms[k]) >= FUZZY_FROM for n, k in ends.items()}
 
-        def closed(states: dict[int, int]) -> frozenset[tuple[int, int]]:
-            """Adds what omitted characters reach; states: the least edits by node."""
-            todo = list(states.items())
+        # A position is (node, edits, pending): with a pending symbol the node's last two were read in the other
+        # order, and only that symbol leads on, to the node itself.
+        def closed(positions: dict[tuple[int, int], int]) -> frozenset[tuple[int, int, int]]:
+            """Adds what omitted characters reach; positions: the least edits by (node, pending)."""
+            todo = list(positions.items())
             while todo:
-                node, edits = todo.pop()
-                if edits < EDITS:
+                (node, pending), edits = todo.pop()
+                if edits < EDITS and not pending:
                     for child in children[node].values():
-                        if budget[child] and states.get(child, EDITS + 1) > edits + 1:
-                            states[child] = edits + 1
-                            todo.append((child, edits + 1))
-            return frozenset(states.items())
+                        if budget[child] and positions.get((child, 0), EDITS + 1) > edits + 1:
+                            positions[child, 0] = edits + 1
+                            todo.append(((child, 0), edits + 1))
+            return frozenset((node, edits, pending) for (node, pending), edits in positions.items())
 
-        start = closed({0: 0})
+        def reach(into: dict[tuple[int, int], int], node: int, edits: int, pending: int = 0) -> None:
+            into[node, pending] = min(edits, into.get((node, pending), EDITS + 1))
+
+        start = closed({(0, 0): 0})
         number_of, todo = {frozenset(): 0, start: 1}, [start]
         steps: list[np.ndarray] = [np.zeros(size, dtype=np.int32), np.zeros(size, dtype=np.int32)]
         while todo:
             state = todo.pop()
-            base: dict[int, int] = {}  # what any symbol reaches: insertions and substitutions
-            exact: dict[int, dict[int, int]] = {}
-            for node, edits in state:
+            base: dict[tuple[int, int], int] = {}  # what any symbol reaches: insertions and substitutions
+            exact: dict[int, dict[tuple[int, int], int]] = {}
+            for node, edits, pending in state:
+                if pending:
+                    reach(exact.setdefault(pending, {}), node, edits)
+                    continue
+                for s, child in children[node].items():
+                    if edits == 0 or budget[child]:
+                        reach(exact.setdefault(s, {}), child, edits)
+                    if edits < EDITS:
+                        for t, grandchild in children[child].items():
+                            if budget[grandchild] and s != t:
+                                reach(exact.setdefault(t, {}), grandchild, edits + 1, s)
                 if edits < EDITS and (node == 0 or budget[node]):
-                    base[node] = min(edits + 1, base.get(node, EDITS + 1))
+                    reach(base, node, edits + 1)
                     for child in children[node].values():
                         if budget[child]:
-                            base[child] = min(edits + 1, base.get(child, EDITS + 1))
-                for s, child in children[node].items():
-                    if edits == 0 or budget[child]:
-                        exact.setdefault(s, {})[child] = min(edits, exact.get(s, {}).get(child, EDITS + 1))
+                            reach(base, child, edits + 1)
             row = steps[number_of[state]]
             for s in (0, *exact):
                 into = dict(base)
-                for child, edits in exact.get(s, {}).items():
-                    into[child] = min(edits, into.get(child, EDITS + 1))
+                for (node, pending), edits in exact.get(s, {}).items():
+                    reach(into, node, edits, pending)
                 target = closed(into)
                 if target not in number_of:
                     number_of[target] = len(steps)
@@ -116,12 +130,12 @@ class Automaton:
         self.step = np.stack(steps)
         self.near, self.term = np.zeros(len(steps), dtype=np.int8), np.zeros(len(steps), dtype=np.int32)
         for state, n in number_of.items():
-            best = min(((e, ends[node]) for node, e in state if node in ends and (e == 0 or fuzzy_end[node])), default=None)
+            best = min(((e, ends[node]) for node, e, pending in state if not pending and node in ends and (e == 0 or fuzzy_end[node])), default=None)
             if best:
                 self.near[n], self.term[n] = best[0] + 1, best[1]
         self.longest = max(map(len, terms)) + EDITS
         self.shortest = min(map(len, terms)) - EDITS
-        self.class_of = np.zeros(1 << 16, dtype=np.int32)
+        self.class_of = np.zeros(sys.maxunicode + 1, dtype=np.int32)
         for c, s in self.symbols.items():
             self.class_of[ord(c)] = s
 
@@ -142,7 +156,7 @@ class Automaton:
 
 def _char_kinds() -> np.ndarray:
     """0 for what separates words, 1 for characters of words, 2 for signs that stand for letters inside words."""
-    kind = np.array([chr(c).isalnum() for c in range(1 << 16)], dtype=np.int8)
+    kind = np.array([chr(c).isalnum() for c in range(sys.maxunicode + 1)], dtype=np.int8)
     for c in "*@$":
         kind[ord(c)] = 2
     return kind
@@ -158,7 +172,7 @@ class Spelled:
         if not _KIND:
             _KIND.append(_char_kinds())
         lowered = [x.lower() for x in texts]
-        self.chars = np.minimum(np.frombuffer("\n".join(lowered).encode("utf-32-le", "replace"), dtype=np.uint32), 0xFFFF).astype(np.int32)
+        self.chars = np.frombuffer("\n".join(lowered).encode("utf-32-le", "replace"), dtype=np.int32)
         starts = np.cumsum([0] + [len(x) + 1 for x in lowered])
         kind = _KIND[0][self.chars]
         inside = kind == 1
@@ -242,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
         share = (F.col("a") + F.col("b")) / (n1 + n0)
         gain = lambda k, n: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (share * n))).otherwise(0.0)
         terms = seen.where((F.col("a") >= LEAST_DOCS) & (F.col("a") / n1 > 19 * F.col("b") / n0)).withColumn("ratio", 2 * (gain("a", n1) + gain("b", n0)))
-        lexicon = [x["term"] for x in terms.where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(TERMS).collect()]
+        lexicon = [x["term"] for x in terms.where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").collect()]
         if not lexicon:
             return Scorer([], np.zeros(len(KINDS)), -2.0)
         probe = docs.sparkSession.sparkContext.broadcast(Scorer(lexicon, np.zeros(len(KINDS)), 0.0))

@@ -43,8 +43,8 @@ def tokens(docs, tmp):
 OPERATORS = {
     "rules": lambda s, d, t: quality_rules.judge(d),
     "language": lambda s, d, t: language_id.identify(d),
-    "quality": lambda s, d, t: quality_classifier.scored(d.select("doc_id", "text"), labels(s)),
-    "decontaminate": lambda s, d, t: decontaminate.summary(decontaminate.decontaminate(d.select("doc_id", "text"), bench(s))),
+    "quality": lambda s, d, t: quality_classifier.scored(d, labels(s)),
+    "decontaminate": lambda s, d, t: decontaminate.decontaminate(d, bench(s)),
     "toxicity": lambda s, d, t: toxicity.toxicity(d, labels(s)),
     "lm": lambda s, d, t: lm_score.cross_entropy_difference(d, labels(s)),
     "tokens": lambda s, d, t: tokens(d, t),
@@ -66,13 +66,16 @@ def test_no_rows(spark, tmp_path, name):
     assert OPERATORS[name](spark, crowded(empty(spark)), str(tmp_path / "out")).count() == 0
 
 
-@pytest.mark.parametrize("k", range(4))
+@pytest.mark.parametrize("k", range(5))
 def test_stages_keep_the_columns(spark, tmp_path, k):
     stage = corpus_pipeline.STAGES[k][1]
     labels(spark, [(None, None, None), (0, 1, None), (0, 1, None)]).write.parquet(str(tmp_path / "labels.parquet"))
     bench(spark).write.parquet(str(tmp_path / "benchmark.parquet"))
     for docs in (crowded(awkward(spark)), crowded(empty(spark))):
         out = stage(spark, docs, str(tmp_path))
+        if k == 4:
+            assert out.columns == ["doc_id", "n_tokens", "bucket", "bucket_length", "batch", "place"] and out.count() == docs.count()
+            continue
         assert [(f.name, f.dataType) for f in out.schema.fields] == [(f.name, f.dataType) for f in docs.schema.fields]
         assert out.exceptAll(docs).where("doc_id IN (0, 1, 2, 3)").count() == 0
 

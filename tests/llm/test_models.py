@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -76,7 +77,7 @@ def test_quality_tables_equal_the_network():
     text = text_of(pa.array(texts))
     got = quality_classifier.Scorer(net)(text)
     for i, t in enumerate(texts):
-        raw = [int(quality_classifier.CLASS[b]) for b in t.encode()] or [quality_classifier.PAD]
+        raw = list(t.encode()) or [quality_classifier.PAD]
         full = np.array(raw + [quality_classifier.PAD] * quality_classifier.WIDTH)
         conv = np.array([net.w["embed"][full[k : k + quality_classifier.WIDTH]].ravel() @ net.w["filters"] for k in range(len(raw))])
         logits, sizes = [], []
@@ -108,12 +109,16 @@ def test_quality_gradients():
 
 
 def levenshtein(a, b):
-    row = list(range(len(b) + 1))
+    """With swaps of neighbours."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
-        row, old = [i], row
+        row, old = [i], rows[-1]
         for j, y in enumerate(b, 1):
             row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
-    return row[-1]
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                row[-1] = min(row[-1], rows[-2][j - 2] + 1)
+        rows.append(row)
+    return rows[-1][-1]
 
 
 def test_automaton_is_the_edit_distance():
@@ -123,7 +128,7 @@ def test_automaton_is_the_edit_distance():
     words = {"".join(rng.choice("abcxq") for _ in range(rng.randint(1, 8))) for _ in range(4000)} | set(terms)
     for t in terms:
         for i in range(len(t) + 1):
-            words |= {t[:i] + "b" + t[i:], t[:i] + t[i + 1 :], t[:i] + "q" + t[i + 1 :]}
+            words |= {t[:i] + "b" + t[i:], t[:i] + t[i + 1 :], t[:i] + "q" + t[i + 1 :], t[:i] + t[i + 1 : i + 2] + t[i : i + 1] + t[i + 2 :]}
     words = sorted(w for w in words if w)
     found = toxicity.Spelled([" ".join(words)])
     near = machine.near[machine.run(machine.class_of[found.chars], found.begin, found.end)]
@@ -132,6 +137,51 @@ def test_automaton_is_the_edit_distance():
         assert n == (best + 1 if best <= 1 else 0), w
 
 
+def scorer_brute(texts, toxic, new):
+    """The lexicon by its definition, hits by edit distance, and the score of the same regression."""
+    import re
+
+    split = lambda t: set(re.split(r"[\W_]+", t.lower()))
+    n1, n0 = sum(toxic), len(toxic) - sum(toxic)
+    terms = []
+    for term in sorted(set().union(*map(split, texts))):
+        a, b = (sum(term in split(t) for t, y in zip(texts, toxic, strict=True) if y == k) for k in (1, 0))
+        share = (a + b) / (n1 + n0)
+        ratio = 2 * sum(k * math.log(k / (share * n)) for k, n in ((a, n1), (b, n0)) if k)
+        if len(term) >= 3 and a >= toxicity.LEAST_DOCS and a / n1 > 19 * b / n0 and ratio >= toxicity.LEAST_RATIO:
+            terms.append(term)
+
+    def kinds(t):
+        words = re.findall(r"\w+", t.lower())
+        exact = [w for w in words if w in terms]
+        wrong = [w for w in words if w not in terms and any(len(x) >= toxicity.FUZZY_FROM and levenshtein(w, x) <= 1 for x in terms)]
+        near = {x for w in exact + wrong for x in terms if x == w or w in wrong and len(x) >= toxicity.FUZZY_FROM and levenshtein(w, x) <= 1}
+        hits = len(exact) + len(wrong)
+        return np.log1p([len(exact), len(wrong), 0, 0, max(hits - 1, 0), len(near)])
+
+    weights, bias = toxicity.regression(np.array([kinds(t) for t in texts]), np.array(toxic))
+    return terms, [1 / (1 + math.exp(-(kinds(t) @ weights + bias))) for t in new]
+
+
+def test_toxicity_against_brute_force(spark):
+    """Terms of any script and plane, learned and found, with swapped letters, too."""
+    rng = random.Random(8)
+    bad, good = ["scoundrel", "дурак", "𝓲𝓭𝓲𝓸𝓽𝓼", "twit"], [f"plain{i}" for i in range(60)]
+    say = lambda *more: " ".join(rng.sample([*rng.sample(good, 12), *more], 12 + len(more)))
+    texts = [say(rng.choice(bad)) if i % 3 == 0 else say() for i in range(150)]
+    toxic = [int(i % 3 == 0) for i in range(150)]
+    new = [say("scuondrel"), say("дурка"), say("𝓲𝓭𝓲𝓸𝓽𝓼"), say("tiwt"), say()]
+    rows = [(i, t) for i, t in enumerate([*texts, *new])]
+    chosen = [(i, y) for i, y in enumerate(toxic) if zlib.crc32(str(i).encode()) % toxicity.FOLDS]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, y) for i, y in chosen], "doc_id long, quality int, toxic int")
+    terms, wanted = scorer_brute([texts[i] for i, _ in chosen], [y for _, y in chosen], new)
+    assert set(bad) <= set(terms)
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, marks).collect()}
+    assert [got[150 + i] for i in range(5)] == pytest.approx(wanted, abs=1e-6)
+    assert [s >= 0.5 for s in wanted] == [True, True, True, False, False]
+
+
 def test_quotation_is_told_from_abuse():
     machine = toxicity.Automaton(["scoundrel"])
     x = np.round(np.expm1(toxicity.features(["you scoundrel", 'he "scoundrel" it', "they called him scoundrel", "you scoundrl scoundrel", "none", ""], machine)))
