@@ -12,6 +12,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,9 +83,14 @@ def own(df: DataFrame, path: str) -> DataFrame:
     return df
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that no DataFrame refers to, now."""
-    for _ in range(3):  # objects of Python hold objects of the JVM, which go in the next round
+def release(spark: SparkSession, rounds: int = 6) -> None:
+    """Deletes the tables that no DataFrame refers to, now. Objects of Python hold objects of the JVM, and Spark
+    lets go of what a query used a little after it, so several rounds find more."""
+    for k in range(rounds):
+        if not _HELD:
+            break
+        if k:
+            time.sleep(0.15)
         gc.collect()
         spark._jvm.System.gc()
         _sweep(spark)
