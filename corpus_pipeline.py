@@ -1,19 +1,22 @@
 """A corpus, from documents to packed batches, by operators of ``paperledger.llm``.
 
 Each stage takes (spark, docs, sf_dir) and returns the rows it keeps, all but the last with the columns of
-documents. Rows with one doc_id stay or go together; a row without doc_id is only judged by its own text.
+documents. Rows with one doc_id stay or go together in near dedup; a row without doc_id is only judged by its own text.
+
+Defined cases, besides those that the operators state: no rows give no rows with the same columns; columns that an
+operator has a name for are kept as they are; texts that are null, empty or very long go the same way as others;
+equal rows share their fate; in groups of near duplicates the rows of the least doc_id stay.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperledger.llm import decontaminate, line_dedup, near_dup, packing, quality_classifier
-from paperledger.llm.common import checkpoint_root, table
+from paperledger.llm.common import table
 from paperledger.session import ship
+from paperledger.tables import delete, new_path, own, release
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -25,8 +28,9 @@ def _free(docs: DataFrame, name: str) -> str:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier, trained on the labelled ones, rejects."""
-    name = _free(docs, "score")
-    return quality_classifier.scored(docs, table(spark, sf_dir, "labels"), name).where(F.col(name) >= quality_classifier.THRESHOLD).drop(name)
+    scored = quality_classifier.scored(docs, table(spark, sf_dir, "labels"))
+    name = scored.columns[-1]
+    return scored.where(F.col(name) >= quality_classifier.THRESHOLD).drop(name)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,9 +71,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of the last stage over all documents; what each stage keeps is written in the shared folder."""
-    docs, root = table(spark, sf_dir, "documents"), f"{checkpoint_root(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(path := f"{root}/{k}")
+    """The result of the last stage over all documents; what each stage keeps is written in the shared folder.
+
+    What a stage read and the tables that it made are deleted as soon as its own result is written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(path := new_path(spark, "stage"))
         docs = spark.read.parquet(path)
-    return docs
+        if before:
+            delete(spark, before)
+        before = path
+        release(spark, rounds=1)
+    return own(docs, before)
