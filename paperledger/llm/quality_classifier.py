@@ -33,11 +33,11 @@ from .adam import Adam
 from .common import Text, chunks, table
 from .sampling import labelled, remainder
 
-WIDTH, CHUNK, FILTERS, EMBED, HIDDEN = 6, 256, 16, 6, 12
-PIECES_A_STEP, SHORT_SHARE = 3, 0.35
+WIDTH, CHUNK, FILTERS, EMBED, HIDDEN = 6, 1024, 16, 6, 12
+PIECES_A_STEP, SHORT_SHARE = 2, 0.15
 #: Each byte is a class of its own; the last one pads.
 CLASSES, PAD = 257, 256
-PER_CLASS, STEPS, BATCH, RATE, SEED = 1200, 360, 48, 0.01, 5
+PER_CLASS, STEPS, BATCH, RATE, SEED = 1200, 900, 48, 0.01, 5
 FOLDS, THRESHOLD = 5, 0.3
 
 

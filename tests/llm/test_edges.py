@@ -114,3 +114,27 @@ def test_benchmark_without_rows(spark):
     docs = awkward(spark).select("doc_id", "text")
     found = decontaminate.summary(decontaminate.decontaminate(docs, bench(spark, [])))
     assert found.where("contaminated").count() == 0
+
+
+def tables_left(spark):
+    import os
+
+    from paperledger.tables import checkpoint_root, release
+
+    release(spark)
+    root = checkpoint_root(spark).removeprefix("file:")
+    return {x for folder in os.listdir(root) if folder.startswith("tables-") for x in os.listdir(f"{root}/{folder}")}
+
+
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op4_decontaminate", "op6_lm_score", "op7_token_output", "op8_near_dup", "op9_packing", "op10_line_dedup", "pipeline"])
+def test_no_table_stays_when_a_result_is_gone(spark, name):
+    import __spark_entry__
+
+    before = tables_left(spark)
+    got = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    derived = got.where(F.col("doc_id") >= 0)
+    del got
+    tables_left(spark)
+    assert derived.count() > 0  # a frame that was made of the result keeps its tables
+    del derived
+    assert tables_left(spark) <= before
