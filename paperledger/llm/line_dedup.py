@@ -42,6 +42,8 @@ from .decontaminate import sendable
 LEAST_WORDS, GRAM = 50, 32
 #: Documents that may have a line that counts as rare, and changed lines in a row inside a region.
 RARE, GAP = 64, 1
+#: Pairs of an earlier document for which it is copied once more.
+PAIRS_A_COPY = 64
 #: Bytes of a table that are sent to all executors at most; greater ones are joined by a shuffle.
 SENT_BYTES = 32 << 20
 KEYED = "doc_id long, version long, key long, line boolean"
@@ -123,11 +125,11 @@ def key_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(row[some])) for k in (0, 2)), pa.array(key[some].view(np.int64)), pa.array(some < len(lines.hash))], ["doc_id", "version", "key", "line"])
 
 
-def patience(a: list[int], b: list[int], least: int = 1) -> list[tuple[int, int]]:
+def patience(a: list[int], b: list[int], spots: list[int] | None = None) -> list[tuple[int, int]]:
     """Pairs of places of equal elements, ascending on both sides: unique ones are anchors, grown and refined.
 
     Between anchors where nothing is unique on both sides the n-th occurrences of an element are taken for the same.
-    What lies between blocks is refined only if it can hold a block of ``least`` elements.
+    With ``spots``, places of b in ascending order, what lies between blocks is refined only if one lies there, too.
     """
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
@@ -139,7 +141,7 @@ def patience(a: list[int], b: list[int], least: int = 1) -> list[tuple[int, int]
         while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
             a1, b1 = a1 - 1, b1 - 1
             out.append((a1, b1))
-        if min(a1 - a0, b1 - b0) < least:
+        if a0 == a1 or b0 == b1 or spots is not None and bisect_left(spots, b0) == bisect_left(spots, b1):
             continue
         for keyed in (_unique, _numbered):
             once = keyed(a, a0, a1)
@@ -193,17 +195,20 @@ def _ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def matched(a: np.ndarray, a_line: np.ndarray, b: np.ndarray, b_line: np.ndarray, pairs: list[tuple[int, int]], least: int) -> np.ndarray:
-    """For each word of b the place of its partner in a, or -1: those of paired lines, and between them by words."""
+def matched(a: np.ndarray, a_line: np.ndarray, b: np.ndarray, b_line: np.ndarray, pairs: list[tuple[int, int]], spots: list[int]) -> np.ndarray:
+    """For each word of b the place of its partner in a, or -1: those of paired lines, and between them by words.
+
+    spots: where runs of b begin that a has, too; blocks that are long enough hold one.
+    """
     partner = np.full(len(b), -1)
     a_start, b_start = a_line.tolist(), b_line.tolist()
     a_end, b_end = [*a_start[1:], len(a)], [*b_start[1:], len(b)]
     x = y = 0
-    words_a, words_b = a.tolist(), b.tolist()
     for i, j in [*pairs, (-1, -1)]:
         x1, y1 = (a_start[i], b_start[j]) if i >= 0 else (len(a), len(b))
         if x < x1 and y < y1:
-            for p, q in patience(words_a[x:x1], words_b[y:y1], least):
+            here = [k - y for k in spots[bisect_left(spots, y) : bisect_left(spots, y1)]]
+            for p, q in patience(a[x:x1].tolist(), b[y:y1].tolist(), here):
                 partner[y + q] = x + p
         if i >= 0:
             partner[y1 : b_end[j]] = np.arange(x1, a_end[i])
@@ -230,6 +235,8 @@ def repeated_words(earlier: tuple[np.ndarray, ...], later: tuple[np.ndarray, ...
     Words are aligned only while the documents share a hash of a run that isn't gone: without one there is no block.
     """
     (a, a_line, a_hash, a_print, _), (b, b_line, b_hash, b_print, b_print_at) = earlier, later
+    if len(b) >= least and np.array_equal(a, b):
+        return np.ones(len(b), dtype=bool)
     gone, size_of = np.zeros(len(b), dtype=bool), np.diff(np.append(b_line, len(b)))
     line_of = np.repeat(np.arange(len(b_line)), size_of)
     shared = b_print_at[np.isin(b_print, a_print)]
@@ -251,7 +258,8 @@ def repeated_words(earlier: tuple[np.ndarray, ...], later: tuple[np.ndarray, ...
         for j in regions(pairs, size, least):
             chosen[start[j] : start[j] + size[j]] = True
         if runs_left:
-            partner = matched(np.tile(a, copies), (a_line + len(a) * np.arange(copies)[:, None]).ravel(), b[left], start, pairs, least)
+            spots = np.searchsorted(left, shared[~gone[shared]]).tolist()
+            partner = matched(np.tile(a, copies), (a_line + len(a) * np.arange(copies)[:, None]).ravel(), b[left], start, pairs, spots)
             opens = np.ones(len(left), dtype=bool)  # whether a word opens a block
             opens[1:] = (partner[1:] != partner[:-1] + 1) | (left[1:] != left[:-1] + 1) | (partner[1:] % max(len(a), 1) == 0)
             block = np.cumsum(opens) - 1
@@ -293,8 +301,9 @@ def repeated_runs(docs: DataFrame, least: int = LEAST_WORDS, sent_bytes: int = S
     width, scratch = shuffle_width(docs.sparkSession), Scratch(docs.sparkSession)
     named = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     pairs = pairs_of(named, scratch, least)
-    # The pairs of one earlier document are dealt over all parts, each with a copy of it.
-    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("doc_id", "version"), F.lit(width)))
+    # The pairs of one earlier document are dealt over as many parts as they fill, each with a copy of it.
+    sizes = pairs.groupBy("hub", "hub_version").agg(F.greatest(F.lit(1), F.floor(F.count("*") / PAIRS_A_COPY)).alias("salts"))
+    dealt = scratch(pairs.join(sizes, ["hub", "hub_version"]).withColumn("salt", F.pmod(F.xxhash64("doc_id", "version"), "salts")).drop("salts"))
     hubs = dealt.select("hub", "hub_version", "salt").distinct().select("hub", "hub_version", "salt", F.lit(0).alias("role"), F.col("hub").alias("doc_id"), F.col("hub_version").alias("version"))
     wanted = scratch(dealt.select("hub", "hub_version", "salt", F.lit(1).alias("role"), "doc_id", "version").unionByName(hubs))
     # The texts of pairs leave the corpus once.
