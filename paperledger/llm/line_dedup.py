@@ -44,6 +44,8 @@ LEAST_WORDS, GRAM = 50, 32
 RARE, GAP = 64, 1
 #: Pairs of an earlier document for which it is copied once more.
 PAIRS_A_COPY = 64
+#: Bytes of text that are taken apart at a time.
+HELD_BYTES = 1 << 19
 #: Bytes of a table that are sent to all executors at most; greater ones are joined by a shuffle.
 SENT_BYTES = 32 << 20
 KEYED = "doc_id long, version long, key long, line boolean"
@@ -117,7 +119,7 @@ def once_a_row(row: np.ndarray, key: np.ndarray) -> np.ndarray:
 def key_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Hashes of lines, and of some runs of words, once for each text that has them."""
     for batch in batches:
-        for part, text in chunks(batch):
+        for part, text in chunks(batch, size=HELD_BYTES):
             lines = Lines(text, least)
             row = np.concatenate([np.repeat(np.arange(len(text)), np.diff(x)) for x in (lines.first, lines.print_first)])
             key = np.concatenate((mix(lines.hash + _U(1)), mix(lines.print + _U(2))))
@@ -275,7 +277,7 @@ def align_batches(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.
     """Rows (hub, hub_version, salt, role, doc_id, version, text) in order; role 0 is the earlier document."""
     hub, earlier = None, None
     for batch in batches:
-        for part, text in chunks(batch):
+        for part, text in chunks(batch, size=HELD_BYTES):
             lines, out = Lines(text, least), []
             for i, (key, version, role, doc_id, own) in enumerate(zip(*(part.column(c).to_pylist() for c in (0, 1, 3, 4, 5)), strict=True)):
                 if role == 0:
@@ -302,8 +304,11 @@ def repeated_runs(docs: DataFrame, least: int = LEAST_WORDS, sent_bytes: int = S
     named = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     pairs = pairs_of(named, scratch, least)
     # The pairs of one earlier document are dealt over as many parts as they fill, each with a copy of it.
-    sizes = pairs.groupBy("hub", "hub_version").agg(F.greatest(F.lit(1), F.floor(F.count("*") / PAIRS_A_COPY)).alias("salts"))
-    dealt = scratch(pairs.join(sizes, ["hub", "hub_version"]).withColumn("salt", F.pmod(F.xxhash64("doc_id", "version"), "salts")).drop("salts"))
+    sizes = pairs.groupBy("hub", "hub_version").agg(F.floor(F.count("*") / PAIRS_A_COPY).alias("more"))
+    many = scratch(sizes.where("more > 0"))
+    salts = F.coalesce("more", F.lit(0)) + 1
+    dealt = pairs.join(sendable(many, 32, sent_bytes), ["hub", "hub_version"], "left")
+    dealt = scratch(dealt.withColumn("salt", F.pmod(F.xxhash64("doc_id", "version"), salts)).drop("more"))
     hubs = dealt.select("hub", "hub_version", "salt").distinct().select("hub", "hub_version", "salt", F.lit(0).alias("role"), F.col("hub").alias("doc_id"), F.col("hub_version").alias("version"))
     wanted = scratch(dealt.select("hub", "hub_version", "salt", F.lit(1).alias("role"), "doc_id", "version").unionByName(hubs))
     # The texts of pairs leave the corpus once.

@@ -39,6 +39,8 @@ PIECES_A_STEP, SHORT_SHARE = 2, 0.15
 CLASSES, PAD = 257, 256
 PER_CLASS, STEPS, BATCH, RATE, SEED = 1200, 900, 48, 0.01, 5
 FOLDS, THRESHOLD = 5, 0.3
+#: Bytes of text that are scored at a time: a byte takes the sums of all filters.
+SCORED_BYTES = 1 << 18
 
 
 def padded(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -115,12 +117,12 @@ class Scorer:
         data, begin, row, length = padded(text)
         pair = data[:-1] * CLASSES + data[1:]
         last = len(pair) - WIDTH + 2
-        total = np.take(self.tables[0], pair[:last], axis=0)
-        for k in range(1, len(self.tables)):
-            total += np.take(self.tables[k], pair[2 * k : last + 2 * k], axis=0)
+        total = np.zeros((last + 1, FILTERS), dtype=np.float32)  # with a position more, where the last chunk may end
+        for k, table in enumerate(self.tables):
+            total[:last] += np.take(table, pair[2 * k : last + 2 * k], axis=0)
         # The positions between one row's last and the next row's first see two rows and are cut off.
         edges = np.column_stack((begin, begin + length)).ravel()
-        pooled = np.maximum.reduceat(np.concatenate((total, total[:1])), np.minimum(edges, len(total)), axis=0)[::2]
+        pooled = np.maximum.reduceat(total, np.minimum(edges, last), axis=0)[::2]
         logit = self.net.head(pooled)[2]
         n = len(text)
         return 1 / (1 + np.exp(-np.bincount(row, length * logit, n) / np.bincount(row, length, n)))
@@ -165,7 +167,7 @@ def score_batches(batches: Iterator[pa.RecordBatch], sent, name: str) -> Iterato
     """Adds a last column."""
     scorer = sent.value
     for batch in batches:
-        for part, text in chunks(batch):
+        for part, text in chunks(batch, size=SCORED_BYTES):
             score = scorer(text) if scorer else np.ones(len(text))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], [*part.schema.names, name])
 
