@@ -8,7 +8,7 @@ collisions, screens pairs before their full sets are compared.
 Documents with equal sets form a class (two 64-bit sums over the set and its size) that is never expanded; a hash
 of these names it, and ids of documents only name components in the end. Each class is first compared with the
 least class of its buckets, one pair a class; after that, in a few rounds, each class outside a bucket's largest
-component with the likeliest of some members of it. What then still shares a bucket and lies in different
+component with the likeliest of some members of it, in one of its buckets. What then still shares a bucket and lies in different
 components is compared by signature: inside the join where the bucket has few such pairs, each class outside the
 largest component with the bucket. Of fuller buckets only pairs are made that share a shingle among the rarest of
 both: a set of n shingles has n - ceil(t n) + 1 of these by an order that all sets share, and two sets of a
@@ -264,7 +264,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         # A few members of each bucket's largest component, and of these the likeliest for each class outside it.
         spread = F.xxhash64("node", F.lit(turn))
         some_of = left.where("label = most").groupBy("key", F.pmod(spread, F.lit(REPRESENTATIVES)).alias("slot")).agg(F.min_by("node", spread).alias("hub"))
-        pairs = left.where("label <> most").select("key", "node").join(scratch(some_of.select("key", "hub")), "key").select("node", "hub").distinct()
+        # A class asks in one of its buckets a round, in another one the next time.
+        asks = left.where("label <> most").groupBy("node").agg(F.min_by("key", F.xxhash64("key", F.lit(turn))).alias("key"))
+        pairs = asks.join(scratch(some_of.select("key", "hub")), "key").select("node", "hub")
         likely = pairs.join(mine, "node").join(theirs, "hub").where(close).groupBy("node").agg(F.max_by("hub", estimate()).alias("hub"))
         more = scratch(confirm(scratch(likely.select("hub", "node")), sketched, shingle, percent))
         if more.isEmpty():
