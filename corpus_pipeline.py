@@ -82,5 +82,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             delete(spark, before)
         before = path
-        release(spark, rounds=1)
+        release(spark, 0)
     return own(docs, before)
