@@ -83,17 +83,19 @@ def own(df: DataFrame, path: str) -> DataFrame:
     return df
 
 
-def release(spark: SparkSession, rounds: int = 6) -> None:
+def release(spark: SparkSession, seconds: float = 6.0) -> None:
     """Deletes the tables that no DataFrame refers to, now. Objects of Python hold objects of the JVM, and Spark
-    lets go of what a query used a little after it, so several rounds find more."""
-    for k in range(rounds):
-        if not _HELD:
-            break
-        if k:
-            time.sleep(0.15)
+    lets go of what a query used a little after it, at times over two seconds, so while any table is left this looks
+    again for that long; 0 looks once."""
+    until = time.monotonic() + seconds
+    while _HELD:
         gc.collect()
         spark._jvm.System.gc()
         _sweep(spark)
+        if time.monotonic() >= until:
+            break
+        if _HELD:
+            time.sleep(0.15)
 
 
 class Scratch:
