@@ -9,7 +9,7 @@ instead of a matrix product.
 
 The sample for training has at most ``PER_CLASS`` labelled documents of either label, outside the held-out
 fold, by a hash of the id, whole (see ``sampling``): each step takes ``PIECES_A_STEP`` chunks of a document, from
-anywhere in it. Only text goes into a score.
+anywhere in it or shorter. Weights decay, so that what few documents show counts for little. Only text goes into a score.
 
 Defined cases: null and empty texts are scored as texts of no bytes; without labelled rows of both labels
 every score is 1.0; very long texts are scored whole; a null doc_id counts as not held out and is not learned from;
@@ -34,10 +34,12 @@ from .common import Text, chunks, table
 from .sampling import labelled, remainder
 
 WIDTH, CHUNK, FILTERS, EMBED, HIDDEN = 6, 1024, 16, 6, 12
-PIECES_A_STEP, SHORT_SHARE = 2, 0.15
+PIECES_A_STEP, SHORT_SHARE, SHORTEST = 2, 0.5, 4
 #: Each byte is a class of its own; the last one pads.
 CLASSES, PAD = 257, 256
 PER_CLASS, STEPS, BATCH, RATE, SEED = 1200, 900, 48, 0.01, 5
+#: Share of the weights, but biases, that is added to their slopes: few labelled documents are bad ones, and alike.
+DECAY = 3e-3
 FOLDS, THRESHOLD = 5, 0.3
 #: Bytes of text that are scored at a time: a byte takes the sums of all filters.
 SCORED_BYTES = 1 << 18
@@ -129,14 +131,14 @@ class Scorer:
 
 
 def some_pieces(text: bytes, rng: np.random.Generator) -> list[bytes]:
-    """A few chunks of a text, from anywhere in it; now and then parts of any order of length, since short documents are few."""
+    """A few chunks of a text, from anywhere in it, half of them cut to parts of any order of length: short documents are few."""
     if len(text) <= CHUNK * PIECES_A_STEP:
         out = [text[i : i + CHUNK] for i in range(0, max(len(text), 1), CHUNK)]
     else:
         out = [text[i : i + CHUNK] for i in rng.integers(0, len(text) - CHUNK + 1, PIECES_A_STEP).tolist()]
     for i, piece in enumerate(out):
         if rng.random() < SHORT_SHARE:
-            size = int(2 ** rng.uniform(4, 8))
+            size = int(2 ** rng.uniform(SHORTEST, np.log2(CHUNK)))
             start = int(rng.integers(0, max(1, len(piece) - size + 1)))
             out[i] = piece[start : start + size]
     return out
@@ -151,7 +153,8 @@ def train(samples: list[tuple[bytes, int]]) -> Network:
         pick = np.concatenate([rng.choice(x, BATCH // 2) for x in by])
         some = [(d, piece) for d, i in enumerate(pick) for piece in some_pieces(samples[i][0], rng)]
         text = Text(np.frombuffer(b"".join(x for _, x in some), dtype=np.uint8), np.cumsum([0] + [len(x) for _, x in some]))
-        adam(net.slopes(text, np.array([d for d, _ in some]), np.repeat((0.0, 1.0), BATCH // 2)), 1.0 if step < STEPS * 0.7 else 0.2)
+        slopes = net.slopes(text, np.array([d for d, _ in some]), np.repeat((0.0, 1.0), BATCH // 2))
+        adam({k: g if k[0] == "b" else g + np.float32(DECAY) * net.w[k] for k, g in slopes.items()}, 1.0 if step < STEPS * 0.7 else 0.2)
     return net
 
 
