@@ -3,7 +3,10 @@
 Each document's set of word shingles gets ``BANDS * ROWS`` minima, hashed in groups of ``ROWS`` to band keys
 that find candidates. Documents that share a key get a signature of ``PERMS`` minima of which only ``BITS``
 low bits are kept, packed in longs; the share of equal low bits, by bit counts and corrected for chance
-collisions, screens pairs before their full sets are compared.
+collisions, screens pairs before their full sets are compared. Beside it stands a bitmap of ``ODD_BITS`` bits, each of
+which tells whether an odd number of the set's shingles has that hash: where two bitmaps differ one set has a shingle that
+the other lacks, so the number of such bits and the sizes bound what they share. No link is lost by that, and of short texts just
+under the threshold, which the signature can't tell from links, hardly a pair is left.
 
 Documents with equal sets form a class (two 64-bit sums over the set and its size) that is never expanded; a hash
 of these names it, and ids of documents only name components in the end. Each class is first compared with the
@@ -40,6 +43,8 @@ from .graph import components, joined
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 32, 5
 PERMS, BITS = 2048, 1
+#: Bits of the bitmap that bounds what two sets share: at 0.8 it tells sets of up to 1,000 shingles or so from links of 0.85.
+ODD_BITS = 1024
 #: Standard errors of the estimate that a pair may lie below the threshold and still be compared in full.
 SLACK = 4.5
 #: Rounds in which each class outside the largest component of a bucket is compared with the likeliest of a
@@ -54,7 +59,8 @@ SIGNED = "doc_id long, version long, n_shingles long, s1 long, s2 long, bands ar
 LONGS = PERMS // PER_LONG
 #: The packed longs are columns of their own: the join condition over them stays small enough to be compiled.
 PACKED, HUB_PACKED = [f"p{i}" for i in range(LONGS)], [f"h{i}" for i in range(LONGS)]
-SKETCHED = "node long, text string, size long, " + ", ".join(f"{p} long" for p in PACKED)
+ODD, HUB_ODD = [f"o{i}" for i in range(ODD_BITS // 64)], [f"g{i}" for i in range(ODD_BITS // 64)]
+SKETCHED = "node long, text string, size long, " + ", ".join(f"{p} long" for p in PACKED + ODD)
 
 
 def sets(words: Words, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,6 +111,14 @@ def low_bits(low: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits << (np.arange(PER_LONG, dtype=_U) * _U(BITS))[None, :, None], axis=1).T
 
 
+def odd_bits(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(ODD_BITS / 64, rows): whether an odd number of a row's shingles has a hash, for each hash, packed."""
+    out = np.zeros((ODD_BITS // 64, len(starts) - 1), dtype=_U)
+    hashed = mix(values ^ series(1, 23)) & _U(ODD_BITS - 1)
+    np.bitwise_xor.at(out, ((hashed >> _U(6)).astype(np.int64), np.repeat(np.arange(len(starts) - 1), np.diff(starts))), _U(1) << (hashed & _U(63)))
+    return out
+
+
 def some_rows(table: np.ndarray, some: np.ndarray, n: int) -> pa.ListArray:
     """A list column with the rows of a table where there are any, else empty lists."""
     has = np.zeros(n + 1, dtype=np.int64)
@@ -133,7 +147,8 @@ def sketch_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[
             some, begins = filled(values, starts)
             packed = np.zeros((LONGS, len(text)), dtype=_U)
             packed[:, some] = low_bits(minima(values, begins, PERMS)).T
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(starts), pa.int64()), *(pa.array(p.view(np.int64)) for p in packed)], ["node", "text", "size", *PACKED])
+            longs = [pa.array(p.view(np.int64)) for p in (*packed, *odd_bits(values, starts))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(starts), pa.int64()), *longs], ["node", "text", "size", *PACKED, *ODD])
 
 
 def matching() -> F.Column:
@@ -156,6 +171,13 @@ def estimate() -> F.Column:
     return (matching() / PERMS - chance) / (1 - chance)
 
 
+def possible(percent: int) -> F.Column:
+    """Whether sets of these sizes whose bitmaps differ so much can be similar enough; true of all that are."""
+    differs = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(ODD, HUB_ODD, strict=True)), F.lit(0))
+    both = F.col("size") + F.col("hub_size")
+    return (both - differs) * (100 + percent) >= both * 2 * percent
+
+
 def least_estimate(percent: int) -> float:
     """The estimate that a pair at the threshold undercuts only by ``SLACK`` standard errors."""
     chance, j = 2.0**-BITS, percent / 100
@@ -243,11 +265,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     texts = slim.join(candidates, ["doc_id", "version"]).dropDuplicates(["node"]).select("node", "text")
     sketched = scratch(texts.mapInArrow(lambda batches: sketch_batches(batches, shingle), SKETCHED))
     floor = least_estimate(percent)
-    mine = sketched.select("node", "size", *PACKED)
-    hub_packed = [F.col(a).alias(b) for a, b in zip(PACKED, HUB_PACKED, strict=True)]
+    mine = sketched.select("node", "size", *PACKED, *ODD)
+    hub_packed = [F.col(a).alias(b) for a, b in zip(PACKED + ODD, HUB_PACKED + HUB_ODD, strict=True)]
     theirs = sketched.select(F.col("node").alias("hub"), F.col("size").alias("hub_size"), *hub_packed)
     close = F.least("size", "hub_size") * 100 >= F.greatest("size", "hub_size") * percent
-    close = close & (estimate() >= floor) if screen else close
+    close = close & (estimate() >= floor) & possible(percent) if screen else close
 
     def mixed(found: DataFrame) -> DataFrame:
         """Members of buckets that hold several components: their component and the bucket's largest one."""
@@ -283,7 +305,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         # Two classes outside the largest component meet twice; the greater one is taken as the member then.
         once = (F.col("label") != F.col("hub_label")) & ((F.col("label") == F.col("most")) | (F.col("node") > F.col("hub")))
         passed = outside.join(inside, "key").where(once & close & (F.array_min(F.array_intersect("bands", "hub_bands")) == F.col("key")))
-        more = scratch(confirm(passed.select("hub", "node"), sketched, shingle, percent))
+        more = scratch(confirm(scratch(passed.select("hub", "node")), sketched, shingle, percent))
         if not more.isEmpty():
             found = joined(found, more, scratch)
     # Pairs of fuller buckets, the first bucket of some pairs left out above among them, must share a rare shingle.

@@ -113,6 +113,41 @@ def test_texts_of_one_frame_are_not_all_compared(spark):
     assert {(3996 + i, i) for i in range(4)} <= pairs and len(pairs) < 4000
 
 
+def test_copies_just_under_the_threshold_are_not_all_compared(spark, monkeypatch):
+    """200 copies that are linked and 200 of similarity 0.82 to these: signatures can't tell all of their pairs from links."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(152)]
+    texts = []
+    for n in [2] * 200 + [3] * 200:
+        words, places = list(base), []
+        while len(places) < n:
+            k = rng.randrange(2, 150)
+            if all(abs(k - x) > 2 for x in places):
+                places.append(k)
+                words[k] = f"own{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    confirm, made = near_dup.confirm, []
+    monkeypatch.setattr(near_dup, "confirm", lambda pairs, *rest: (made.append(pairs.count()), confirm(pairs, *rest))[1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(frame(spark, texts), 3, 85).collect()}
+    assert [got[i] for i in range(len(texts))] == near_brute(texts, 3, 85)
+    assert sum(made) < 10 * len(texts)
+
+
+@pytest.mark.parametrize("size", [20, 300, 3000])
+def test_bitmaps_leave_no_link_out(spark, size):
+    rng = random.Random(size)
+    base = [f"w{i}" for i in range(size)]
+    texts = [" ".join(base), *(edited(rng, base, max(1, round(size * x / 100))) for x in range(1, 11)), "other words", " ".join(base[: size // 2])]
+    values, starts = near_dup.sets(Words(text_of(pa.array(texts))), 3)
+    odd, sets = near_dup.odd_bits(values, starts).view(np.int64).T, [set(values[a:b].tolist()) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    rows = [(*odd[i].tolist(), *odd[j].tolist(), len(sets[i]), len(sets[j])) for i, j in pairs]
+    names = ", ".join(f"{x} long" for x in [*near_dup.ODD, *near_dup.HUB_ODD, "size", "hub_size"])
+    got = [r.p for r in spark.createDataFrame(rows, names).coalesce(1).select(near_dup.possible(85).alias("p")).collect()]
+    linked = [100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) for i, j in pairs]
+    assert all(p for p, x in zip(got, linked, strict=True) if x) and not all(got)
+
+
 def test_estimate_is_close_to_the_similarity(spark):
     rng = random.Random(2)
     base = [f"w{i}" for i in range(500)]
