@@ -351,3 +351,19 @@ def test_tables_go_when_nothing_refers_to_them(spark):
     places = [(r.id, r.place) for r in numbered(spark.range(50).orderBy(F.desc("id"))).collect()]
     assert sorted(places, key=lambda x: x[1]) == [(49 - i, i + 1) for i in range(50)]
     assert numbered(spark.range(0)).count() == 0
+
+
+def test_many_small_files_are_written_and_listed_by_few_tasks(spark, tmp_path):
+    rows = [(f"a=1/b={i}", f"x{i}.txt", f"ü {i}\n") for i in range(60)]
+    spark.sparkContext.setJobGroup("listed", "")
+    try:
+        assert sinks.write_texts(spark.createDataFrame(rows, "folder string, name string, value string").coalesce(1), f"file:{tmp_path}/out") == 60
+        found = files.scan(spark, f"{tmp_path}/out", suffixes=False)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(k).numTasks for j in tracker.getJobIdsForGroup("listed") for k in tracker.getJobInfo(j).stageIds]
+    assert max(tasks) == 4 * spark.sparkContext.defaultParallelism
+    got = {(r.path.split("/out/")[1], bytes(r.content).decode()) for r in found.collect()}
+    assert got == {(f"{a}/{b}", c) for a, b, c in rows}
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
