@@ -98,7 +98,7 @@ def classification_csv(s: SparkSession, d: str) -> DataFrame:
 @query("review_csv", f"{_AUDIT} SELECT sha256, file, problems, CASE WHEN problems = '' THEN 'auto' ELSE '' END AS approved, {_NAMES} FROM audited")
 def review_csv(s: SparkSession, d: str) -> DataFrame:
     """The sheet as a person gets it back."""
-    sheet = labels.review_sheet(_audited(s, d))
+    sheet = labels.review_sheet(Scratch(s)(_audited(s, d)))  # to sort reads what it sorts twice
     path = new_path(s, "review")
     sinks.write_csv(sheet, path)
     raw = files.review(s, path)
@@ -160,9 +160,9 @@ def test_files(s: SparkSession, d: str) -> DataFrame:
 # ---- order ----
 
 query("report_order", f"{_CLASSIFIED} SELECT file, score, row_number() OVER (ORDER BY score DESC, file) AS place FROM classified")(
-    lambda s, d: numbered(scoring.report_order(_classified(s, d)).select("file", "score")))
+    lambda s, d: numbered(scoring.report_order(Scratch(s)(_classified(s, d).select("file", "score")))))
 query("review_order", f"{_AUDIT} SELECT file, row_number() OVER (ORDER BY problems = '', file) AS place FROM audited")(
-    lambda s, d: numbered(labels.review_sheet(_audited(s, d))).select("file", "place"))
+    lambda s, d: numbered(labels.review_sheet(Scratch(s)(_audited(s, d)))).select("file", "place"))
 query("tally_order", f"{_AUDIT}, t AS (SELECT problem, count(*) AS n FROM (SELECT unnest(string_split(problems, '; ')) AS problem FROM audited WHERE problems <> '') GROUP BY problem) SELECT problem, row_number() OVER (ORDER BY n DESC, problem) AS place FROM t")(
     lambda s, d: numbered(labels.tally(_audited(s, d))).select("problem", "place"))
 query("spend_order", f"{_CHECKED}, t AS (SELECT vendor, currency, sum(total) AS spend FROM ledger WHERE is_invoice AND total IS NOT NULL GROUP BY vendor, currency) SELECT vendor, currency, row_number() OVER (ORDER BY spend DESC, vendor, currency) AS place FROM t")(

@@ -15,7 +15,7 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperledger.session import ship
@@ -123,6 +123,15 @@ class Scratch:
                 delete(self.spark, path)
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """The rows with more columns, each computed once for a row.
+
+    Spark puts what a column is made of in place of its name in each filter above, as often as it occurs there; it
+    doesn't look into what comes out of a generator, here of a list of one struct.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def numbered(rows: DataFrame, name: str = "place") -> DataFrame:
     """The rows with their places from 1 on in the order that they are in.
 

@@ -39,6 +39,24 @@ def test_filename_hint(spark, name, wanted):
     assert spark.range(1).select(scoring.basename(F.lit(name)).rlike(scoring.FLAGS + scoring.FILENAME_HINT)).first()[0] is wanted
 
 
+ODD = ["Taxſ INVOICE", "ınvoıce no 5", "İNVOİCE", "challan\u2060", "paſſport", "sub\u00a0total", "sub-total", "Total ₹ १२.३४", "TOTAL due:  Rs. 12.50", "total 1,2.34x", "xchallan", "challané", "pay slip", "Profit & Loss", "order #", "Order no.", "bill\t#", None, ""]
+
+
+def test_texts_meet_patterns_as_by_the_patterns_alone(spark):
+    texts = spark.createDataFrame([(x,) for x in [*ODD, *(f"a {x}\nsalary slip 7.00" for x in ODD if x)]], "t string")
+    t, low = F.col("t"), F.lower("t")
+    patterns = [*(p for p, _, _ in scoring.RULES), scoring.TOTAL_WITH_AMOUNT, scoring.FILENAME_HINT, scoring.SENSITIVE, r"(?x) pay slip", r"\p{L}{7,}", "ſub", r"[a-z&&[^p]]ay", "a|total"]
+    assert sum(bool(scoring.needed(p)) for p in patterns) == len(patterns) - 4
+    for row in texts.select(F.array(*(scoring.meets(t, p, scoring.is_ascii(t), low).eqNullSafe(t.rlike(scoring.FLAGS + p)) for p in patterns)).alias("same")).collect():
+        assert all(row.same)
+
+
+def test_filters_of_candidates_do_not_look_for_the_patterns_again(spark):
+    found = scoring.classify(spark.createDataFrame([("1", "a", "invoice", 1, 0, "ok")], EXTRACTED))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(labels.candidates(found, "scan/")).count("RLIKE(") == plan(found).count("RLIKE(") == plan(scoring.copy_targets(found)).count("RLIKE(")
+
+
 def test_rules_as_a_table_give_the_same_scores(spark):
     rows = [("a", "Tax invoice, GSTIN, sub-total"), ("b", "nothing"), ("c", "pay slip"), ("d", None)]
     texts = spark.createDataFrame(rows, "k string, text string")
