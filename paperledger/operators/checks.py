@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperledger.functions.record import clean, complete, parse_object
+from paperledger.functions.record import amount_field, clean, complete, listed, only
 from paperledger.functions.text import digits, numbers_in, one_digit_apart, valid_gstin
 from paperledger.schema import AMOUNTS, FIELDS
+from paperledger.tables import once
 
 # ---- Fixed values: check messages. ----
 SNAPPED = "{} snapped to printed amount"
@@ -30,7 +31,7 @@ def snap_to_printed(records: DataFrame, numbers: str = "numbers") -> DataFrame:
     for field in ("subtotal", "total"):
         own = digits(F.col(field))
         near = F.filter(F.col(numbers), lambda n: one_digit_apart(own, digits(n)))  # noqa: B023
-        records = records.withColumn("_near", F.when(F.col(field).isNotNull() & ~printed(F.col(field), F.col(numbers)), near))
+        records = once(records, _near=F.when(F.col(field).isNotNull() & ~printed(F.col(field), F.col(numbers)), near))
         records = records.withColumn(f"near_{field}", F.when(F.size("_near") == 1, F.element_at("_near", 1))).drop("_near")
         records = records.withColumn(field, F.coalesce(f"near_{field}", field))
     return records
@@ -38,7 +39,7 @@ def snap_to_printed(records: DataFrame, numbers: str = "numbers") -> DataFrame:
 
 def check(records: DataFrame, text_col: str = "text") -> DataFrame:
     """The records, repaired, with ``check``: what was done or is wrong, or ``ok``."""
-    rows = snap_to_printed(records.withColumn("numbers", numbers_in(F.col(text_col))))
+    rows = snap_to_printed(once(records.drop("numbers"), numbers=numbers_in(F.col(text_col))))
     rows = rows.withColumn("_bad_gstin", F.coalesce(F.col("gstin") != "", F.lit(False)) & ~F.coalesce(valid_gstin(F.col("gstin")), F.lit(False)))
     rows = rows.withColumn("gstin", F.when(~F.col("_bad_gstin"), F.col("gstin")))
     wrong = F.coalesce(F.abs(F.col("subtotal") + F.col("tax") - F.col("total")) > 1, F.lit(False))
@@ -63,8 +64,10 @@ def guided_check(check: Column, guided: Column) -> Column:
 
 def typed(answers: DataFrame, output_col: str = "output") -> DataFrame:
     """Adds the typed fields of an answer, and ``guided``: whether it lacks an object or some field of it."""
-    parsed = answers.withColumn("_object", parse_object(F.col(output_col)))
-    return parsed.select(*answers.columns, incomplete(F.col("_object"), F.col(output_col)).alias("guided"), *clean(F.col("_object")))
+    parsed = once(answers, _listed=listed(F.col(output_col))).withColumn("_object", only(F.col("_listed")))
+    parsed = once(parsed, **{f"_{f}": amount_field(F.col("_object"), f) for f in AMOUNTS})
+    fields = [F.col(f"_{f}").alias(f) if f in AMOUNTS else c for f, c in zip(FIELDS, clean(F.col("_object")), strict=True)]
+    return parsed.select(*answers.columns, incomplete(F.col("_object"), F.col(output_col)).alias("guided"), *fields)
 
 
 def incomplete(value: Column, output: Column) -> Column:
