@@ -281,13 +281,17 @@ query("last_turn", "SELECT conv_id, count(*) AS n_turns, arg_max(text, turn) AS
 # ---- evaluation ----
 
 
-def _judged(s: SparkSession, d: str) -> DataFrame:
+def _answers(s: SparkSession, d: str) -> DataFrame:
     """Both models' answers next to what is wanted, in one row of a bill, and then a row for each."""
     seconds = (F.col("key") % 7 + 1).cast("double")
     answer = lambda model, output, took: F.struct(F.lit(model).alias("model"), output.alias("output"), took.alias("seconds"))
     both = F.array(answer("tuned", F.col("output"), seconds), answer("base", F.replace("output", F.lit('"INV/'), F.lit('"INV/9')), seconds * 2))
     rows = view.answers(view.bills(s, d)).select(F.col("sha256").alias("doc_id"), F.explode(both).alias("x"), *SCORED)
-    return evaluation.judge_joined(rows.select("doc_id", "x.*", *SCORED))
+    return rows.select("doc_id", "x.*", *SCORED)
+
+
+def _totals(s: SparkSession, d: str) -> DataFrame:
+    return evaluation.totals(_answers(s, d))
 
 
 _NORM = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
@@ -306,13 +310,13 @@ judged AS MATERIALIZED (
     SELECT sha256 AS doc_id, model, seconds, j IS NOT NULL AS valid, output, {", ".join(f"j IS NOT NULL AND {_sql_correct(f)}" + (" AND model = 'tuned'" if f == "invoice_number" else "") + f" AS c_{f}" for f in SCORED)} FROM two
 )"""
 query("field_accuracy", f"{_JUDGED} {' UNION ALL '.join(f"SELECT model, '{f}' AS field, count(*) AS n, count(*) FILTER (c_{f}) AS n_correct FROM judged GROUP BY model" for f in SCORED)}")(
-    lambda s, d: evaluation.field_accuracy(_judged(s, d)))
+    lambda s, d: evaluation.accuracy_of(_totals(s, d)))
 query("document_scores", f"{_JUDGED} SELECT model, count(*) AS n, count(*) FILTER (valid) AS n_valid, count(*) FILTER (valid AND {' AND '.join(f'c_{f}' for f in SCORED)}) AS n_exact, avg(CAST(seconds AS DOUBLE)) AS mean_seconds FROM judged GROUP BY model")(
-    lambda s, d: evaluation.document_scores(_judged(s, d)))
+    lambda s, d: _totals(s, d).drop("right"))
 query("misses", f"{_JUDGED} {' UNION ALL '.join(f"SELECT model, '{f}' AS field, count(*) AS n FROM judged WHERE valid AND NOT c_{f} GROUP BY model" for f in SCORED)} UNION ALL SELECT model, 'invalid json', count(*) FROM judged WHERE NOT valid GROUP BY model")(
-    lambda s, d: evaluation.misses(_judged(s, d)).groupBy("model", "field").agg(F.count("*").alias("n")))
+    lambda s, d: evaluation.misses(evaluation.judge_joined(_answers(s, d))).groupBy("model", "field").agg(F.count("*").alias("n")))
 query("model_pivot", f"{_JUDGED} {' UNION ALL '.join(f"SELECT '{f}' AS field, CAST((count(*) FILTER (c_{f} AND model = 'base')) * 1000 // (count(*) FILTER (model = 'base')) AS BIGINT) AS base, CAST((count(*) FILTER (c_{f} AND model = 'tuned')) * 1000 // (count(*) FILTER (model = 'tuned')) AS BIGINT) AS tuned FROM judged" for f in SCORED)}")(
-    lambda s, d: evaluation.head_to_head(evaluation.field_accuracy(_judged(s, d)), ["base", "tuned"]))
+    lambda s, d: evaluation.head_to_head(evaluation.accuracy_of(_totals(s, d)), ["base", "tuned"]))
 
 # ---- reports ----
 

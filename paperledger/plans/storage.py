@@ -12,7 +12,7 @@ from paperledger.functions import record, text
 from paperledger.operators import dataset, evaluation, labels, reports, scoring
 from paperledger.plans import bills as view
 from paperledger.plans.bills import sql_bills, sql_labels, sql_numbers, table
-from paperledger.plans.catalog import _AUDIT, _CHECKED, _CLASSIFIED, _GROUPS, _JUDGED, _audited, _classified, _copies, _judged, _ledger, query
+from paperledger.plans.catalog import _AUDIT, _CHECKED, _CLASSIFIED, _GROUPS, _JUDGED, _audited, _classified, _copies, _ledger, _totals, query
 from paperledger.schema import FIELDS, SCORED
 from paperledger.sources import extract, files, sinks
 from paperledger.tables import Scratch, delete, file_system, new_path, numbered, own
@@ -189,7 +189,7 @@ def _share(metric: str, hit: str) -> str:
 
 
 def _report(s: SparkSession, d: str) -> DataFrame:
-    return evaluation.report(_judged(s, d), ["base", "tuned"])
+    return evaluation.report_of(_totals(s, d), ["base", "tuned"])
 
 
 query("percent_report", f"{_JUDGED} " + " UNION ALL ".join([*(_share(f, f"c_{f}") for f in SCORED), _share("valid JSON", "valid"), _share("ALL fields right", "valid AND " + " AND ".join(f"c_{f}" for f in SCORED))]))(_report)

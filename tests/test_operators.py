@@ -260,3 +260,24 @@ def test_split_rows_is_assign(spark):
 def test_report_in_percents(spark):
     judged = spark.createDataFrame([(str(i), "m", 1.0, True, f, i < k) for f, k in (("total", 5), ("tax", 8)) for i in range(8)], "doc_id string, model string, seconds double, valid boolean, field string, correct boolean")
     assert dict(evaluation.report(judged, ["m"]).collect()) == {"total": "62%", "tax": "100%", "valid JSON": "100%", "ALL fields right": "62%"}
+
+
+def test_totals_are_those_of_judged_fields(spark):
+    answers = [('{"vendor": "Acme Ltd", "total": "Rs 5.00", "tax": true}', "m"), ('{"vendor": "acme", "total": 6, "is_invoice": true}', "m"), ("{", "m"), ('{"vendor": null, "currency": "Inr"}', "k")]
+    rows = [(str(i), m, o, float(i), *rec(total="5", vendor="ACME", currency="INR", is_invoice=True)) for i, (o, m) in enumerate(answers)]
+    both = spark.createDataFrame(rows, "doc_id string, model string, output string, seconds double, " + RECORD)
+    judged, total = evaluation.judge_joined(both), evaluation.totals(both)
+    of = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert of(evaluation.accuracy_of(total)) == of(evaluation.field_accuracy(judged))
+    assert of(total.drop("right")) == of(evaluation.document_scores(judged))
+    assert of(evaluation.report_of(total, ["m", "k"])) == of(evaluation.report(judged, ["m", "k"]))
+
+
+def test_records_and_answers_are_read_once(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    answers = spark.createDataFrame([("a", "ok", TEXT, "{}")], "file string, status string, text string, output string")
+    spend = plan(reports.spend_by_vendor(checks.ledger(checks.typed(answers))))
+    assert (spend.count("regexp_extract_all("), spend.count("parseJson(")) == (1, 1)
+    both = spark.createDataFrame([("1", "m", "{}", 1.0, *rec())], "doc_id string, model string, output string, seconds double, " + RECORD)
+    for df in (evaluation.report_of(evaluation.totals(both), ["m"]), evaluation.misses(evaluation.judge_joined(both))):
+        assert plan(df).count("parseJson(") == 1
