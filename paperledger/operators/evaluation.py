@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperledger.functions.record import amount_field, amount_of, kind, listed, only, text_field
+from paperledger.functions.record import amount_field, amount_of, kind, listed, only, text_field, text_fields
 from paperledger.functions.text import norm
 from paperledger.schema import AMOUNTS, SCORED
 from paperledger.tables import once
@@ -22,7 +22,10 @@ def field_correct(field: str, answer: Column, want: Column) -> Column:
     vendor names one may hold the other; else letters and digits count."""
     if field in AMOUNTS:
         return _amount_correct(amount_field(answer, field), kind(answer, field), want)
-    got = text_field(answer, field)
+    return _text_correct(field, text_field(answer, field), want)
+
+
+def _text_correct(field: str, got: Column, want: Column) -> Column:
     equal = F.coalesce(got == want.cast("string"), F.lit(False))  # most are; then there is nothing to normalise
     same = equal | norm(got).eqNullSafe(norm(want))
     if field == "vendor":
@@ -41,14 +44,13 @@ def _amount_correct(got: Column, kind: Column, want: Column) -> Column:
 def _answered(both: DataFrame) -> DataFrame:
     """The rows with what ``_correct`` looks at, made once for a row."""
     both = once(both, _listed=listed(F.col("output"))).withColumn("_object", only(F.col("_listed")))
-    kinds = once(both, **{f"_kind_{f}": kind(F.col("_object"), f) for f in AMOUNTS})
-    return once(kinds, **{f"_got_{f}": amount_of(F.col(f"_kind_{f}"), text_field(F.col("_object"), f)) for f in AMOUNTS})
+    kinds = once(both, _texts=text_fields(F.col("_object")), **{f"_kind_{f}": kind(F.col("_object"), f) for f in AMOUNTS})
+    return once(kinds, **{f"_got_{f}": amount_of(F.col(f"_kind_{f}"), F.col("_texts")[f]) for f in AMOUNTS})
 
 
 def _correct(field: str) -> Column:
-    answer = F.col("_object")
-    right = _amount_correct(F.col(f"_got_{field}"), F.col(f"_kind_{field}"), F.col(field)) if field in AMOUNTS else field_correct(field, answer, F.col(field))
-    return answer.isNotNull() & right
+    right = _amount_correct(F.col(f"_got_{field}"), F.col(f"_kind_{field}"), F.col(field)) if field in AMOUNTS else _text_correct(field, F.col("_texts")[field], F.col(field))
+    return F.col("_object").isNotNull() & right
 
 
 def judge(answers: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -67,7 +69,7 @@ def judge_joined(both: DataFrame, key: str = "doc_id") -> DataFrame:
         F.struct(
             F.lit(f).alias("field"),
             _correct(f).alias("correct"),
-            text_field(F.col("_object"), f).alias("got"),
+            F.col("_texts")[f].alias("got"),
             F.col(f).cast("string").alias("want"),
         )
         for f in SCORED
@@ -93,6 +95,13 @@ def accuracy_of(total: DataFrame) -> DataFrame:
     return total.select("model", "n", each).select("model", "x.field", "n", "x.n_correct")
 
 
+def misses_of(total: DataFrame) -> DataFrame:
+    """(model, field, n): the numbers of ``misses`` out of ``totals``."""
+    each = [F.struct(F.lit(f).alias("field"), (F.col("n_valid") - F.col("right")[i]).alias("n")) for i, f in enumerate(SCORED)]
+    each.append(F.struct(F.lit("invalid json").alias("field"), (F.col("n") - F.col("n_valid")).alias("n")))
+    return total.select("model", F.explode(F.array(*each)).alias("x")).select("model", "x.*").where("n > 0")
+
+
 def report_of(total: DataFrame, models: list[str]) -> DataFrame:
     """``report`` out of ``totals``."""
     shares = [F.struct(F.lit(f).alias("metric"), percent(F.col("right")[i], F.col("n")).alias("share")) for i, f in enumerate(SCORED)]

@@ -5,6 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from paperledger.functions import record
 from paperledger.operators import checks, dataset, evaluation, labels, reports, scoring
 from paperledger.schema import FIELDS
 
@@ -270,9 +271,19 @@ def test_totals_are_those_of_judged_fields(spark):
     of = lambda df: sorted(map(tuple, df.collect()), key=str)
     assert of(evaluation.accuracy_of(total)) == of(evaluation.field_accuracy(judged))
     assert of(total.drop("right")) == of(evaluation.document_scores(judged))
+    assert of(evaluation.misses_of(total)) == of(evaluation.misses(judged).groupBy("model", "field").count())
     assert of(evaluation.report_of(total, ["m", "k"])) == of(evaluation.report(judged, ["m", "k"]))
 
 
+def test_texts_of_fields_at_once_are_those_of_each_field(spark):
+    values = ['"x"', "5", "5.10", "1e3", "true", "null", "{}", '{"total": 7}', "[1, null]", '""', '"a\\nb"']
+    outputs = ["{}", "[]", "7", *(f'{{"total": {v}, "other": {v}, "vendor": "V"}}' for v in values)]
+    rows = spark.createDataFrame([(x,) for x in outputs], "o string").withColumn("v", F.try_parse_json("o"))
+    names = ["vendor", "total", "tax"]
+    for row in rows.select(record.text_fields(F.col("v")).alias("x"), *(record.text_field(F.col("v"), f).alias(f) for f in names)).collect():
+        assert tuple((row.x or {}).get(f) for f in names) == tuple(row[f] for f in names)
+
+
 def test_records_and_answers_are_read_once(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     answers = spark.createDataFrame([("a", "ok", TEXT, "{}")], "file string, status string, text string, output string")
